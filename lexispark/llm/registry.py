@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat
+from lexispark.llm import chat, packing, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_token_counts": token_counts.query,
+        "op8_packing": packing.query,
+        "op9_sharding": sharding.query,
         "op10_chat_formatting": chat.query,
     }
 
