@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat, packing, sharding, token_counts
+from lexispark.llm import chat, packing, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": token_counts.query,
+        "op6_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
         "op9_sharding": sharding.query,
         "op10_chat_formatting": chat.query,
