@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat, packing, quality_rules, sharding, token_counts
+from lexispark.llm import chat, packing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": quality_classifier.query,
         "op5_token_counts": token_counts.query,
         "op6_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
