@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat, packing, quality_classifier, quality_rules, sharding, token_counts
+from lexispark.llm import chat, near_dup, packing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality_classifier.query,
+        "op4_near_dup": near_dup.query,
         "op5_token_counts": token_counts.query,
         "op6_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_dup": near_dup.ORACLE,
         "op10_chat_formatting": chat.ORACLE,
     }
