@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat, near_dup, packing, quality_classifier, quality_rules, sharding, token_counts
+from lexispark.llm import chat, near_dup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_array_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": quality_classifier.query,
+        "op2_substring_dedup": substring_dedup.query,
+        "op3_suffix_array_dedup": suffix_array_dedup.query,
         "op4_near_dup": near_dup.query,
         "op5_token_counts": token_counts.query,
         "op6_quality_rules": quality_rules.query,
@@ -23,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": substring_dedup.ORACLE,
         "op4_near_dup": near_dup.ORACLE,
         "op10_chat_formatting": chat.ORACLE,
     }
