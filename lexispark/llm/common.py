@@ -160,8 +160,8 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
 class Words:
     """The words of a slice of documents: starts, ends, and first word of each document (`bounds`, one more at the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        word = ~IS_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE):
+        word = ~separator[data]
         first = word.copy()
         first[1:] &= ~word[:-1]
         last = word.copy()

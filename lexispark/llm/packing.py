@@ -24,7 +24,8 @@ from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
 
 LENGTH = 2048
-GROUP_PIECES = 16384
+#: Pieces a group; with their ids, so many that a group's ids take 16 MB at most.
+GROUP_PIECES, GROUP_WITH_IDS = 16384, 2048
 
 
 def pieces(docs: DataFrame, tokenizer: str, eod: int, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
@@ -86,9 +87,10 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, eod: int = 1, length: int = LENGTH, group_pieces: int = GROUP_PIECES, seed: int = 11, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, eod: int = 1, length: int = LENGTH, group_pieces: int | None = None, seed: int = 11, keep_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset. With keep_ids the pieces' ids come along: sorted by sequence_id and
     offset they are the sequences."""
+    group_pieces = group_pieces or (GROUP_WITH_IDS if keep_ids else GROUP_PIECES)
     cut = pieces(docs, tokenizer or default_path(), eod, length, keep_ids)
     if not keep_ids:
         cut = staged(cut, "pieces")  # tokenized once; the number of groups needs the number of pieces

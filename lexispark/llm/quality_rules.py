@@ -103,12 +103,12 @@ def slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """`docs` (without columns named like ours) and its statistics; text does not travel."""
+def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """`docs` (without columns named like ours) and its statistics; text travels only if asked for."""
     ready(docs.sparkSession)
     docs = docs.drop(*STATS, *MORE, *VERDICT)
-    rest = [c for c in docs.columns if c != "text"]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + [f"{c} long" for c in STATS + MORE]
+    rest = [c for c in docs.columns if keep_text or c != "text"]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + [f"{c} long" for c in STATS + MORE]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,14 +227,17 @@ def _cuts(far: DataFrame, keys: list[str], share: float) -> DataFrame:
 CUTOFF = 60.0
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4) -> DataFrame:
-    """`docs` without text, its statistics, base_failed, distance (squared, robust) and kept."""
+def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4, keep_text: bool = False) -> DataFrame:
+    """`docs`, its statistics, base_failed, distance (squared, robust) and kept. Text stays only if asked for, and then
+    its statistics are counted again, so that it need not be staged."""
     stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()), "stats")
     level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
     lang, source, none = F.col("lang"), F.col("source"), F.lit(None).cast("string")
     fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, lang, source))).alias("g"), *X).select("g.*", *X)
     found = mcd(fit, ["level", "lang", "source"], steps).where(F.col("n") >= min_group)
     of = lambda n, keys, c: found.where(F.col("level") == n).select(*keys, F.struct("mu", "inv", "shrink").alias(c))
+    if keep_text:
+        stats = statistics(docs, True).withColumn("base_failed", base_failed()).withColumns(vectors())
     x = _joined(stats, of(2, ["lang", "source"], "e1"), ["lang", "source"])
     x = _joined(x, of(1, ["lang"], "e2"), ["lang"])
     x = _joined(x.withColumn("level", F.lit(0)), of(0, ["level"], "e3"), ["level"])

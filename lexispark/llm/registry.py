@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexispark.llm import chat, near_dup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_array_dedup, token_counts
+from lexispark.llm import chat, decontamination, near_dup, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_array_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_near_dup": near_dup.query,
         "op5_token_counts": token_counts.query,
         "op6_quality_rules": quality_rules.query,
+        "op7_decontamination": decontamination.query,
         "op8_packing": packing.query,
         "op9_sharding": sharding.query,
         "op10_chat_formatting": chat.query,
