@@ -4,7 +4,7 @@ Fitting takes a bounded sample of labelled rows (`per_label` of each label, by a
 rows). A text's terms are its hashed byte trigrams, its trigrams of character classes (so that shape counts beside
 vocabulary), and bands of its length and of its shares of words that repeat the last one or any earlier one. Weighted by
 log frequency and inverse document frequency they are reduced by a truncated singular value decomposition; the reduced
-vectors and their labels are broadcast (2 * per_label vectors of `dims` numbers: 1 MB, whatever the size of the corpus).
+vectors and their labels are broadcast (2 * per_label vectors of `dims` numbers: half a megabyte, whatever the size of the corpus).
 
 Scoring reads every whole text: blocks of documents are projected and multiplied with all labelled vectors, exactly; the
 k nearest vote with the power `sharpness` of their cosine, and labels are weighted back to their share among all
@@ -134,7 +134,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dims: int = 64, k: int = 32, sharpness: float = 8.0, seed: int = 3) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1024, dims: int = 64, k: int = 32, sharpness: float = 8.0, seed: int = 3) -> Model | None:
     """A model of `labels` (doc_id, quality) on the texts of `docs`, held-out rows left out; None without labelled rows."""
     ready(docs.sparkSession)
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
@@ -157,13 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2048, dims: int = 6
     got = picked.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").orderBy("doc_id", "quality").toArrow()
     if not len(got):
         return None
-    counts = np.frombuffer(b"".join(x.as_py() for x in got.column("counts")), "<u2").reshape(len(got), FEATURES)
     labels_ = got.column("quality").to_numpy().astype(np.float64)
+    counts = np.empty((len(got), FEATURES), np.uint16)
+    for i, raw in enumerate(got.column("counts")):
+        counts[i] = np.frombuffer(raw.as_buffer(), "<u2")
+    del got
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    x = _weighted(counts.astype(np.float32), idf)
+    x = np.empty(counts.shape, np.float32)
+    for i in range(0, len(x), 256):
+        x[i : i + 256] = _weighted(counts[i : i + 256].astype(np.float32), idf)
     axes = _truncated_svd(x, min(dims, len(x), FEATURES), seed)
-    model = Model(idf, axes, np.zeros(0), labels_, (1.0, 1.0), k, sharpness)
-    model.vectors = model.reduce(counts.astype(np.float32))
+    model = Model(idf, axes, _unit(x @ axes), labels_, (1.0, 1.0), k, sharpness)
     total = sum(shares.values())
     model.weight = tuple(shares.get(y, 0) / total / max(1, (labels_ == y).sum()) for y in (0, 1))
     return model
