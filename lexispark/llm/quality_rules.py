@@ -49,7 +49,7 @@ def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Order by (doc, key), and which rows of that order equal the row before and the row after."""
     order = np.lexsort((key, doc))
     same = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-    return order, np.r_[False, same], np.r_[same, False]
+    return order, np.append([False], same)[: len(order)], np.append(same, False)[: len(order)]
 
 
 def slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
