@@ -42,7 +42,8 @@ def _pending(urls: DataFrame, now: int) -> DataFrame:
 
 def seed(frontier: DataFrame, urls: DataFrame, domains: Sequence[str], now: int) -> DataFrame:
     """Adds the allowed and useful of `urls` (url) that the frontier doesn't have."""
-    u = urls.select(U.normalize_url(F.col("url")).alias("url"))
+    # exploded, so that the optimizer doesn't repeat the normalization in each part of the filter
+    u = urls.select(F.explode(F.array(U.normalize_url(F.col("url")))).alias("url"))
     u = u.where(U.is_allowed_domain(F.col("url"), domains) & U.is_useful_url(F.col("url"))).distinct()
     return frontier.unionByName(_pending(u.withColumn("discovered_from", F.lit(None).cast("string")), now).join(frontier.select("url"), "url", "left_anti"))
 
