@@ -224,7 +224,7 @@ def _cuts(far: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 #: The 0.9999 quantile of chi-square with 5 degrees of freedom is 25.7; texts have heavier tails than normal vectors.
-CUTOFF = 60.0
+CUTOFF = 72.0
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4, keep_text: bool = False) -> DataFrame:
