@@ -8,8 +8,9 @@ only the text around repeated ones is ever shuffled. None of this loses a repeat
 Texts that are equal as a whole are one class, made by an aggregation over their digests: only the class's first document
 goes on, with the number of its copies.
 
-Anchors that occur more than `hot` times aren't collected into a task: their windows become rows, which are aggregated by
-their 128-bit names with partial sums in each task.
+Anchors that occur more than `hot` times aren't collected into a task: equal surroundings become one context by an
+aggregation with partial sums in each task, and if more than `hot` different contexts are left, their windows become rows
+that are aggregated by their 128-bit names.
 """
 
 from __future__ import annotations
@@ -103,9 +104,9 @@ MOST_WINDOWS = 1 << 14
 
 def surroundings(docs: DataFrame, unit: Unit) -> DataFrame:
     """Of docs (id, doc_id, text, keys, hots): key, id, doc_id, first, n and the text (`around`) of the n windows from `first`
-    whose anchor is a repeated one; or, for hot anchors, a row for each window, with its name in place of the text."""
+    whose anchor is a repeated one, and whether it is hot."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["key", "id", "doc_id", "first", "n", "around", "name"]
+    names = ["key", "id", "doc_id", "first", "n", "around", "hot"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,35 +117,22 @@ def surroundings(docs: DataFrame, unit: Unit) -> DataFrame:
                 values, bounds, w = unit.values(data, offsets)
                 key, at, first, n = unit.runs(values, bounds)
                 doc = np.searchsorted(bounds, first, "right") - 1
-                # look (doc, key) up among the wanted
-                wanted = np.lexsort((keys.view(_U), np.repeat(np.arange(b - a), np.diff(at_key))))
-                wk, wh = keys.view(_U)[wanted], hots[wanted]
-                mine = _find(wk, np.repeat(np.arange(b - a), np.diff(at_key)), key, doc, at_key)
+                mine = _find(keys.view(_U), np.repeat(np.arange(b - a), np.diff(at_key)), key, doc, at_key)
                 keep = mine >= 0
-                key, first, n, doc, is_hot = key[keep], first[keep], n[keep], doc[keep], wh[mine[keep]] if len(wh) else np.zeros(0, bool)
-                if is_hot.any():
-                    window = ragged(first[is_hot], n[is_hot])
-                    h = prefix_hash(values, _STEP)
-                    d, k = np.repeat(doc[is_hot], n[is_hot]), np.repeat(key[is_hot], n[is_hot])
-                    name = span_hash(h, window, window + unit.length, _STEP)
-                    for i in range(0, len(window), 1 << 16):
-                        j = slice(i, i + (1 << 16))
-                        m = len(window[j])
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(k[j])), texts.take(pa.array(d[j] + a)), ids.take(pa.array(d[j] + a)), pa.array(window[j] - bounds[d[j]]), pa.array(np.ones(m, np.int64)), pa.nulls(m, pa.binary()), pa.array(signed(name[j]))], names)
-                key, first, n, doc = key[~is_hot], first[~is_hot], n[~is_hot], doc[~is_hot]
-                if not len(key):
+                if not keep.any():
                     continue
+                key, first, n, doc, hot = key[keep], first[keep], n[keep], doc[keep], hots[mine[keep]]
                 per = -(-n // MOST_WINDOWS)
-                key, doc = np.repeat(key, per), np.repeat(doc, per)
+                key, doc, hot = (np.repeat(x, per) for x in (key, doc, hot))
                 step = ragged(np.zeros(len(n), np.int64), per) * MOST_WINDOWS
                 first, n = np.repeat(first, per) + step, np.minimum(np.repeat(n, per) - step, MOST_WINDOWS)
                 last = first + n + unit.length - 1
                 lo, hi = (w.starts[first], w.ends[last - 1]) if unit.words else (first, last)
                 for x, y in slices(np.concatenate([[0], np.cumsum(hi - lo)]), 1 << 22):
-                    text = binary_array(data[ragged(lo[x:y], (hi - lo)[x:y])], (hi - lo)[x:y])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[x:y])), texts.take(pa.array(doc[x:y] + a)), ids.take(pa.array(doc[x:y] + a)), pa.array(first[x:y] - bounds[doc[x:y]]), pa.array(n[x:y]), text, pa.nulls(y - x, pa.int64())], names)
+                    text, of = binary_array(data[ragged(lo[x:y], (hi - lo)[x:y])], (hi - lo)[x:y]), pa.array(doc[x:y] + a)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[x:y])), texts.take(of), ids.take(of), pa.array(first[x:y] - bounds[doc[x:y]]), pa.array(n[x:y]), text, pa.array(hot[x:y].astype(bool))], names)
 
-    return docs.mapInArrow(cut, f"key long, id binary, doc_id {kind}, first long, n long, around binary, name long")
+    return docs.mapInArrow(cut, f"key long, id binary, doc_id {kind}, first long, n long, around binary, hot boolean")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -224,11 +212,82 @@ def judged(runs: DataFrame, unit: Unit, flag: Callable[[pa.Table, np.ndarray, np
     return runs.sortWithinPartitions("key").mapInArrow(judge, "id binary, first long, n long")
 
 
-def hot_windows(rows: DataFrame, across: bool) -> DataFrame:
-    """id, first, n of repeated windows of hot anchors: one row a window, joined with what an aggregation by name says."""
-    seen = rows.groupBy("key", "name").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("least"))
-    again = rows.join(seen.where("times > 1"), ["key", "name"])
-    return (again.where("doc_id > least") if across else again).select("id", "first", "n")
+def hot_judged(members: DataFrame, unit: Unit, deal: Callable, flag: Callable, across: bool, hot: int) -> DataFrame:
+    """id, first, n of repeated windows around hot anchors. Equal surroundings are one context, made by an aggregation; a
+    window of a context that another document (or place) has is repeated for all but the least. Contexts are judged
+    among themselves like other surroundings; where an anchor still has too many of them, their windows are named and
+    counted by an aggregation, and each context looks its windows up in the list of its anchor's repeated names (or, where
+    that list is too long for a row, in the table of names)."""
+    members = members.withColumn("cid", F.unhex(F.md5(F.concat("around", F.col("key").cast("string").cast("binary")))))
+    contexts = staged(members.groupBy("key", "cid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("around").alias("around")), "contexts")
+    crowded = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+    few = contexts.join(crowded, "key", "left_anti").select("key", F.col("cid").alias("id"), "doc_id", F.lit(0).cast("long").alias("first"), "n", "around")
+    many = contexts.join(crowded, "key", "left_semi")
+    runs = judged(deal(few), unit, flag)
+    if not crowded.isEmpty():
+        named = _named(many, unit)
+        seen = staged(named.groupBy("key", "name").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("least")).where("m > 1").drop("m"), "names")
+        lists = seen.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.collect_list("name").alias("names"), F.collect_list(F.coalesce("least", F.lit(NEVER))).alias("leasts"))
+        long = seen.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LISTED).select("key")
+        runs = runs.unionByName(_looked_up(many.join(lists.where(F.col("m") <= LISTED), "key"), unit, across))
+        if not long.isEmpty():
+            again = named.join(long, "key", "left_semi").join(seen, ["key", "name"])
+            runs = runs.unionByName((again.where("doc_id > least") if across else again).select("id", "first", F.lit(1).cast("long").alias("n")))
+    runs = runs.select(F.col("id").alias("cid"), F.col("first").alias("skip"), F.col("n").alias("m"))
+    placed = members.select("cid", "id", "doc_id", "first", "n").join(contexts.select("cid", "times", F.col("doc_id").alias("least")), "cid")
+    whole = (F.col("doc_id") > F.col("least")) if across else (F.col("times") > 1)
+    whole = F.coalesce(whole, F.lit(False))
+    return placed.where(whole).select("id", "first", "n").unionByName(placed.where(~whole).join(runs, "cid").select("id", (F.col("first") + F.col("skip")).alias("first"), F.col("m").alias("n")))
+
+
+#: Names that go into one row at most, and a doc_id beyond all.
+LISTED, NEVER = 1 << 16, (1 << 63) - 1
+
+
+def _looked_up(contexts: DataFrame, unit: Unit, across: bool) -> DataFrame:
+    """id, first, n of the windows of contexts (key, cid, doc_id, n, around, names, leasts) that are among the names."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column("around"), 1 << 18):
+                values, bounds, _ = unit.values(data, offsets)
+                h = prefix_hash(values, _STEP)
+                ids, first, size = [], [], []
+                for i in range(a, b):
+                    n = batch.column("n")[i].as_py()
+                    place = np.arange(n) + bounds[i - a]
+                    names = signed(span_hash(h, place, place + unit.length, _STEP))
+                    listed = batch.column("names")[i].values.to_numpy()
+                    order = np.argsort(listed)
+                    at = np.minimum(np.searchsorted(listed[order], names), len(listed) - 1)
+                    found = listed[order][at] == names
+                    if across:
+                        own = batch.column("doc_id")[i].as_py()
+                        found &= own is not None and batch.column("leasts")[i].values.to_numpy()[order][at] < (own or 0)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], found, [False]]).astype(np.int8)))
+                    ids += [batch.column("cid")[i].as_py()] * (len(edge) // 2)
+                    first += edge[::2].tolist()
+                    size += (edge[1::2] - edge[::2]).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(first, pa.int64()), pa.array(size, pa.int64())], ["id", "first", "n"])
+
+    return contexts.mapInArrow(look, "id binary, first long, n long")
+
+
+def _named(contexts: DataFrame, unit: Unit) -> DataFrame:
+    """key, name, id, doc_id, first: a row for each window of the contexts."""
+    kind = contexts.schema["doc_id"].dataType.simpleString()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column("around"), 1 << 18):
+                values, bounds, _ = unit.values(data, offsets)
+                n = batch.column("n").slice(a, b - a).to_numpy()
+                place, row = ragged(bounds[:-1], n), pa.array(np.repeat(np.arange(a, b), n))
+                names = span_hash(prefix_hash(values, _STEP), place, place + unit.length, _STEP)
+                cols = [batch.column("key").take(row), pa.array(signed(names)), batch.column("cid").take(row), batch.column("doc_id").take(row), pa.array(ragged(np.zeros(len(n), np.int64), n))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "name", "id", "doc_id", "first"])
+
+    return contexts.mapInArrow(name, f"key long, name long, id binary, doc_id {kind}, first long")
 
 
 def spans(docs: DataFrame, unit: Unit, deal: Callable[[DataFrame], DataFrame], flag: Callable, across: bool, hot: int = HOT) -> DataFrame:
@@ -240,8 +299,8 @@ def spans(docs: DataFrame, unit: Unit, deal: Callable[[DataFrame], DataFrame], f
     again = staged(repeated(found, across, hot), "repeated")
     least = docs.withColumn("id", text_id()).withColumnRenamed("doc_id", "own").join(again, "id").where(F.col("own").eqNullSafe(F.col("doc_id")))
     around = staged(surroundings(least.select("id", "doc_id", "text", "keys", "hots"), unit), "around")
-    runs = judged(deal(around.where("around is not null").select("key", "id", "doc_id", "first", "n", "around")), unit, flag)
-    hots = hot_windows(around.where("name is not null").select("key", "name", "id", "doc_id", "first", "n"), across)
+    runs = judged(deal(around.where("not hot").drop("hot")), unit, flag)
+    hots = hot_judged(around.where("hot").drop("hot"), unit, deal, flag, across, hot)
     marked = runs.unionByName(hots).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
     copies = docs.select(text_id().alias("id"), "doc_id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     out = copies.join(staged(marked, "spans"), "id", "left").where("copies > 1 or spans is not null")

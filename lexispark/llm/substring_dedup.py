@@ -72,11 +72,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, digests: bool = False) -> DataFrame:
     """`docs` with n_words, n_removed and, of documents that lose words, the text without them; with `digests`,
     kept_sha256 (of the kept words joined by one space) in place of the text."""
-    ours = ["n_words", "n_removed", "kept_sha256", "_spans", "_copy", "_id"]
-    docs = docs.drop(*ours)
-    found = repeats(docs, length, k, hot).withColumnRenamed("id", "_id")
-    joined = docs.withColumn("_id", text_id()).join(found.withColumnRenamed("spans", "_spans"), "_id", "left")
-    joined = joined.withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("least_id"), F.lit(False))).drop("_id", "least_id", "copies")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_spans", "_copy", "_id", "_least")
+    found = repeats(docs, length, k, hot).select(F.col("id").alias("_id"), F.col("least_id").alias("_least"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_id", text_id()).join(found, "_id", "left")
+    joined = joined.withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("_least"), F.lit(False))).drop("_id", "_least")
     rest = [c for c in docs.columns if c != "text"]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     last = "kept_sha256" if digests else "text"

@@ -67,10 +67,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, digests: bool = False) -> DataFrame:
     """`docs` with n_bytes, n_removed, n_spans (runs of removed bytes) and the remaining bytes as text; with `digests`,
     kept_sha256 in place of the text."""
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "_spans", "_copy", "_id")
-    found = repeats(docs, length, k, hot).withColumnRenamed("id", "_id").withColumnRenamed("spans", "_spans")
-    joined = docs.withColumn("_id", text_id()).join(found, "_id", "left").withColumn("_copy", F.coalesce(F.col("copies") > 1, F.lit(False)))
-    joined = joined.drop("_id", "least_id", "copies")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "_spans", "_copy", "_id", "_copies")
+    found = repeats(docs, length, k, hot).select(F.col("id").alias("_id"), F.col("copies").alias("_copies"), F.col("spans").alias("_spans"))
+    joined = docs.withColumn("_id", text_id()).join(found, "_id", "left")
+    joined = joined.withColumn("_copy", F.coalesce(F.col("_copies") > 1, F.lit(False))).drop("_id", "_copies")
     rest = [c for c in docs.columns if c != "text"]
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     last = "kept_sha256 string" if digests else "text binary"
