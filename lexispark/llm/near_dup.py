@@ -6,11 +6,10 @@ kept, so a signature of 2n values takes n hash evaluations a shingle, and each k
 largest chance that a pair at the threshold shares no band. Every link is confirmed on the full sets.
 
 Groups of copies never make all their pairs. Equal sets are one class, made by an aggregation. Within a band's bucket
-all classes are first compared with its least one. For classes that still share a bucket with another component, private
-shingles are counted (those that no other class in question has), and all are compared with the bucket's class of the
-most usual shingles, its pivot (the original, in a group of edited copies). Private shingles and the counts of the
-pivot's shingles that two classes miss bound their similarity from above, exactly; those pairs of different components
-that the bound leaves are compared one by one, so no link that could join two components is left out.
+all classes are first compared with its least one. In buckets that still hold several components, all are compared with
+the class of the most usual shingles, the bucket's pivot (the original, in a group of edited copies). What classes differ
+in from their pivot then tells, exactly, which other pairs of different components can be linked at all (`_candidates`);
+those are compared one by one, so no link that could join two components is left out.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing; with fewer than k words the
 whole sequence is the one shingle; repeated rows of a doc_id are one node and each get a row; a null doc_id is linked
@@ -27,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexispark.llm.common import LOWER, Words, _STEP, binary_array, mix, prefix_hash, signed, span_hash, staged, text_slices
 from lexispark.session import ready
@@ -106,9 +106,11 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.tobytes() and np.frombuffer(raw.tobytes(), _U), (bounds - bounds[0]) // 8
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """`pairs` (a, b) with the sizes of their full sets, na and nb, and of the intersection, common."""
+def compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """`pairs` (a, b) with the sizes of their full sets, na and nb, and of the intersection, common; if asked for, also
+    `diff`: the shingles that only one of them has, those of a inverted."""
     kind = pairs.schema["a"].dataType.simpleString()
+    names = ["a", "b", "na", "nb", "common"] + ["diff"] * differences
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +123,21 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 pair = np.concatenate([np.repeat(np.arange(n), np.diff(bx)), np.repeat(np.arange(n), np.diff(by))])
                 order = np.lexsort((both, pair))
                 both, pair = both[order], pair[order]
-                common = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(np.diff(bx)), pa.array(np.diff(by)), pa.array(common, pa.int64())], ["a", "b", "na", "nb", "common"])
+                same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
+                common = np.bincount(pair[1:][same], minlength=n)
+                cols = [part.column("a"), part.column("b"), pa.array(np.diff(bx)), pa.array(np.diff(by)), pa.array(common, pa.int64())]
+                if differences:
+                    alone = np.ones(len(both), bool)
+                    alone[1:] &= ~same
+                    alone[:-1] &= ~same
+                    value = np.where(order[alone] < len(x), ~both[alone], both[alone])
+                    bounds = np.concatenate([[0], np.cumsum(np.bincount(pair[alone], minlength=n))])
+                    cols.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(value))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}, na long, nb long, common long")
+    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}, na long, nb long, common long" + ", diff array<long>" * differences)
 
 
 def _links(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -159,9 +170,8 @@ def _mixed(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return at, staged(m.join(mixed, "bucket"), "mixed")
 
 
-def _private(mixed: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, u, usual): how many of a class's shingles no other class in question has (they are in no intersection), and
-    in how many classes its shingles occur on average."""
+def _usual(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, usual): in how many of the classes in question a class's shingles occur on average."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,13 +185,34 @@ def _private(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
     rows = sets.join(asked, "doc_id", "left_semi").mapInArrow(explode, f"rep {kind}, shingle long")
     times = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    return staged(rows.join(times, "shingle").groupBy("rep").agg(F.count_if(F.col("times") == 1).alias("u"), F.avg("times").alias("usual")), "private")
-
-
-def _may_link(n1, u1, m1, n2, u2, m2, num: int, den: int):
-    """Whether there is room for a link. A linked pair's symmetric difference is at most (den-num)/(den+num) of the sum of
-    its sizes; it holds both private parts, and of the pivot's shingles at least the difference of the counts missed."""
-    return (den + num) * (u1 + u2 + F.abs(m1 - m2)) <= (den - num) * (n1 + n2)
+    return staged(rows.join(times, "shingle").groupBy("rep").agg(F.avg("times").alias("usual")), "usual")
+
+
+def _candidates(against: DataFrame, still: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs of classes in different components that share a bucket and may be linked, by their differences
+    from the bucket's pivot.
+
+    The symmetric difference of two classes is that of their differences D from a common pivot, and two linked classes
+    differ by at most t = (den-num)/(den+num) of the sum of their sizes. If |D| + |D'| <= t both are linked with the
+    pivot and so in one component. Otherwise they share at least (|D| + |D'| - t) / 2 of D and D', so with each D in order
+    of rarity, the first shared shingle is among the first t + 1 of both, and leaves enough behind it in both. Edited
+    copies of one original differ from it by rare shingles, so few pairs pass."""
+    at = still.select("pivot", "rep", "component").distinct()
+    d = against.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff").join(at, ["pivot", "rep"])
+    rows = d.select("pivot", "rep", "component", "n", F.size("diff").alias("d"), F.explode("diff").alias("shingle"))
+    times = rows.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # shingles that are there once come first in the order; they are in no other difference, only their number counts
+    shared = rows.join(times, ["pivot", "shingle"])
+    ranked = shared.withColumn("place", F.row_number().over(Window.partitionBy("pivot", "rep").orderBy("times", "shingle")))
+    ranked = ranked.withColumn("place", F.col("place") + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("pivot", "rep")))
+    # the other's size is at most den / num of this one's
+    first = ranked.where((den + num) * num * (F.col("place") - 1) <= (den - num) * (num + den) * F.col("n"))
+    first = staged(first.select("pivot", "shingle", "rep", "component", "n", "d", "place"), "first")
+    other = first.select("pivot", "shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "d", "place")])
+    pairs = first.join(other, ["pivot", "shingle"]).where(F.col("rep") < F.col("rep2")).where(F.col("component") != F.col("component2"))
+    left = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) + 1
+    enough = (den + num) * (F.col("d") + F.col("d2") - 2 * left) <= (den - num) * (F.col("n") + F.col("n2"))
+    return pairs.where(enough).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = 6, miss: float = 1e-6) -> DataFrame:
@@ -205,22 +236,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     first = first.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     edges = staged(_links(compared(first, sets), num, den), "edges")
     at, mixed = _mixed(edges, members)
-    mixed = mixed.join(_private(mixed, sets), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
 
     # the second star: each bucket's pivot is the class of the most usual shingles, the original of edited copies
+    mixed = mixed.join(_usual(mixed, sets), "rep", "left")
     pivots = mixed.groupBy("bucket").agg(F.max(F.struct(F.coalesce("usual", F.lit(0.0)), "rep")).alias("x"))
     mixed = staged(mixed.join(pivots.select("bucket", F.col("x.rep").alias("pivot")), "bucket"), "mixed")
     again = mixed.where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    against = staged(compared(again, sets), "second")
+    against = staged(compared(again, sets, True), "second")
     edges = edges.unionByName(staged(_links(against, num, den), "edges"))
-    missed = against.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (F.col("na") - F.col("common")).alias("m"))
     at, still = _mixed(edges, mixed.drop("component"))
-    still = still.join(missed, ["pivot", "rep"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
 
-    # what is left: of two linked classes one has a private share below what a link allows
-    low = still.where((den + num) * F.col("u") <= (den - num) * F.col("n")).select("bucket", *[F.col(c).alias(f"{c}1") for c in ("rep", "n", "u", "m", "component")])
-    rest = low.join(still, "bucket").where((F.col("component1") != F.col("component")) & _may_link(F.col("n1"), F.col("u1"), F.col("m1"), F.col("n"), F.col("u"), F.col("m"), num, den))
-    rest = rest.select(F.least("rep1", "rep").alias("a"), F.greatest("rep1", "rep").alias("b")).distinct()
+    # what is left
+    rest = _candidates(against, still, num, den)
     done = first.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = staged(rest.join(done, ["a", "b"], "left_anti"), "rest")
     found = staged(_links(compared(rest, sets), num, den), "edges")
