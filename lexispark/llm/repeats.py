@@ -8,7 +8,8 @@ only the text around repeated ones is ever shuffled. None of this loses a repeat
 Texts that are equal as a whole are one class, made by an aggregation over their digests: only the class's first document
 goes on, with the number of its copies.
 
-Anchors that occur more than `hot` times aren't collected into a task: equal surroundings become one context by an
+Anchors that occur more than `hot` times aren't collected into a task: a document's equal surroundings (a line or a pair
+of words said over and over has little else) are one row with a list of places, equal surroundings become one context by an
 aggregation with partial sums in each task, and if more than `hot` different contexts are left, their windows become rows
 that are aggregated by their 128-bit names.
 """
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import _STEP, Words, binary_array, byte_codes, covered, gram_hash, minimizers, mix, prefix_hash, ragged, signed, slices, span_hash, staged, text_buffers, text_slices
+from lexispark.llm.common import _STEP, Words, binary_array, byte_codes, byte_hash, byte_spans, covered, gram_hash, minimizers, mix, prefix_hash, ragged, signed, slices, span_hash, staged, text_buffers, text_slices
 from lexispark.session import ready
 
 #: Above so many occurrences an anchor's windows are rows of their own.
@@ -104,9 +105,10 @@ MOST_WINDOWS = 1 << 14
 
 def surroundings(docs: DataFrame, unit: Unit) -> DataFrame:
     """Of docs (id, doc_id, text, keys, hots): key, id, doc_id, first, n and the text (`around`) of the n windows from `first`
-    whose anchor is a repeated one, and whether it is hot."""
+    whose anchor is a repeated one, and whether it is hot. Runs around a hot anchor with the same text in one document are one
+    row; `places` has the first window of each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["key", "id", "doc_id", "first", "n", "around", "hot"]
+    names = ["key", "id", "doc_id", "first", "n", "around", "hot", "places"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,18 +123,28 @@ def surroundings(docs: DataFrame, unit: Unit) -> DataFrame:
                 keep = mine >= 0
                 if not keep.any():
                     continue
-                key, first, n, doc, hot = key[keep], first[keep], n[keep], doc[keep], hots[mine[keep]]
+                key, first, n, doc, hot = key[keep], first[keep], n[keep], doc[keep], hots[mine[keep]].astype(bool)
                 per = -(-n // MOST_WINDOWS)
                 key, doc, hot = (np.repeat(x, per) for x in (key, doc, hot))
                 step = ragged(np.zeros(len(n), np.int64), per) * MOST_WINDOWS
                 first, n = np.repeat(first, per) + step, np.minimum(np.repeat(n, per) - step, MOST_WINDOWS)
                 last = first + n + unit.length - 1
                 lo, hi = (w.starts[first], w.ends[last - 1]) if unit.words else (first, last)
+                name = np.arange(len(key), dtype=_U)
+                if hot.any():
+                    name[hot] = byte_spans(byte_hash(data), lo[hot], hi[hot])
+                order = np.lexsort((first, name, key, doc))
+                of_same = [c[order] for c in (name, key, doc)]
+                begin = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in of_same])])
+                places, at_place = (first - bounds[doc])[order], np.append(begin, len(order))
+                key, n, doc, hot, lo, hi = (c[order[begin]] for c in (key, n, doc, hot, lo, hi))
                 for x, y in slices(np.concatenate([[0], np.cumsum(hi - lo)]), 1 << 22):
                     text, of = binary_array(data[ragged(lo[x:y], (hi - lo)[x:y])], (hi - lo)[x:y]), pa.array(doc[x:y] + a)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[x:y])), texts.take(of), ids.take(of), pa.array(first[x:y] - bounds[doc[x:y]]), pa.array(n[x:y]), text, pa.array(hot[x:y].astype(bool))], names)
+                    p, q = at_place[x], at_place[y]
+                    listed = pa.ListArray.from_arrays(pa.array(at_place[x : y + 1] - p, pa.int32()), pa.array(places[p:q]))
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(key[x:y])), texts.take(of), ids.take(of), pa.array(places[at_place[x:y]]), pa.array(n[x:y]), text, pa.array(hot[x:y]), listed], names)
 
-    return docs.mapInArrow(cut, f"key long, id binary, doc_id {kind}, first long, n long, around binary, hot boolean")
+    return docs.mapInArrow(cut, f"key long, id binary, doc_id {kind}, first long, n long, around binary, hot boolean, places array<long>")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,13 +225,13 @@ def judged(runs: DataFrame, unit: Unit, flag: Callable[[pa.Table, np.ndarray, np
 
 
 def hot_judged(members: DataFrame, unit: Unit, deal: Callable, flag: Callable, across: bool, hot: int) -> DataFrame:
-    """id, first, n of repeated windows around hot anchors. Equal surroundings are one context, made by an aggregation; a
+    """id, spans (array<struct<first, n>>) of repeated windows around hot anchors. Equal surroundings are one context, made by an aggregation; a
     window of a context that another document (or place) has is repeated for all but the least. Contexts are judged
     among themselves like other surroundings; where an anchor still has too many of them, their windows are named and
     counted by an aggregation, and each context looks its windows up in the list of its anchor's repeated names (or, where
     that list is too long for a row, in the table of names)."""
     members = members.withColumn("cid", F.unhex(F.md5(F.concat("around", F.col("key").cast("string").cast("binary")))))
-    contexts = staged(members.groupBy("key", "cid").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("around").alias("around")), "contexts")
+    contexts = staged(members.groupBy("key", "cid").agg(F.min("doc_id").alias("doc_id"), F.sum(F.size("places")).alias("times"), F.first("n").alias("n"), F.first("around").alias("around")), "contexts")
     crowded = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
     few = contexts.join(crowded, "key", "left_anti").select("key", F.col("cid").alias("id"), "doc_id", F.lit(0).cast("long").alias("first"), "n", "around")
     many = contexts.join(crowded, "key", "left_semi")
@@ -233,11 +245,16 @@ def hot_judged(members: DataFrame, unit: Unit, deal: Callable, flag: Callable, a
         if not long.isEmpty():
             again = named.join(long, "key", "left_semi").join(seen, ["key", "name"])
             runs = runs.unionByName((again.where("doc_id > least") if across else again).select("id", "first", F.lit(1).cast("long").alias("n")))
-    runs = runs.select(F.col("id").alias("cid"), F.col("first").alias("skip"), F.col("n").alias("m"))
-    placed = members.select("cid", "id", "doc_id", "first", "n").join(contexts.select("cid", "times", F.col("doc_id").alias("least")), "cid")
+    runs = runs.groupBy(F.col("id").alias("cid")).agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+    placed = members.select("cid", "id", "doc_id", "places", "n").join(contexts.select("cid", "times", F.col("doc_id").alias("least")), "cid")
     whole = (F.col("doc_id") > F.col("least")) if across else (F.col("times") > 1)
     whole = F.coalesce(whole, F.lit(False))
-    return placed.where(whole).select("id", "first", "n").unionByName(placed.where(~whole).join(runs, "cid").select("id", (F.col("first") + F.col("skip")).alias("first"), F.col("m").alias("n")))
+    span = lambda first, n: F.struct(first.alias("first"), n.alias("n"))
+    all_of = F.transform("places", lambda p: span(p, F.col("n")))
+    some_of = F.flatten(F.transform("places", lambda p: F.transform("runs", lambda r: span(p + r["first"], r["n"]))))
+    # a null doc_id has none smaller
+    rest = placed.where(~whole & (F.col("doc_id").isNotNull() if across else F.lit(True)))
+    return placed.where(whole).select("id", all_of.alias("spans")).unionByName(rest.join(runs, "cid").select("id", some_of.alias("spans")))
 
 
 #: Names that go into one row at most, and a doc_id beyond all.
@@ -299,9 +316,9 @@ def spans(docs: DataFrame, unit: Unit, deal: Callable[[DataFrame], DataFrame], f
     again = staged(repeated(found, across, hot), "repeated")
     least = docs.withColumn("id", text_id()).withColumnRenamed("doc_id", "own").join(again, "id").where(F.col("own").eqNullSafe(F.col("doc_id")))
     around = staged(surroundings(least.select("id", "doc_id", "text", "keys", "hots"), unit), "around")
-    runs = judged(deal(around.where("not hot").drop("hot")), unit, flag)
+    runs = judged(deal(around.where("not hot").drop("hot", "places")), unit, flag)
     hots = hot_judged(around.where("hot").drop("hot"), unit, deal, flag, across, hot)
-    marked = runs.unionByName(hots).groupBy("id").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    marked = runs.select("id", F.array(F.struct("first", "n")).alias("spans")).unionByName(hots).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     copies = docs.select(text_id().alias("id"), "doc_id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     out = copies.join(staged(marked, "spans"), "id", "left").where("copies > 1 or spans is not null")
     return staged(out.withColumnRenamed("doc_id", "least_id"), "repeats")

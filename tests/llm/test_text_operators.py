@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexispark.llm import common, near_dup, substring_dedup, suffix_array_dedup
+from lexispark.llm import common, near_dup, repeats, substring_dedup, suffix_array_dedup
 
 ODD = [(40, None), (41, ""), (42, "a" * 300), (43, "ab " * 50), (44, " \n\t "), (45, "é" * 30 + " " + "é" * 30)]
 
@@ -74,6 +74,38 @@ def test_bytes(spark, seed, hot):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs, 20)
 
 
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_said_over_and_over(spark, hot, monkeypatch):
+    """Texts of little but one line or pair of words, which share most of their surroundings with themselves."""
+    monkeypatch.setattr("lexispark.llm.repeats.LISTED", 8)
+    docs = [(i, f"{'ab cd ' * (9 + i)}x{i} {'one line\nagain\n' * (i % 3)}{'cd ab ' * (5 * (i % 2))}") for i in range(12)]
+    got = substring_dedup.dedup(frame(spark, docs), 6, 2, hot, True).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(docs, 6)
+    got = suffix_array_dedup.dedup(frame(spark, docs), 20, 6, hot, True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs, 20)
+    around = repeats.surroundings(_marked(spark, docs), repeats.Unit(True, 6, 2)).collect()
+    assert len(around) < sum(len(r.places) for r in around) / 2
+
+
+def _marked(spark, docs):
+    unit, rows = repeats.Unit(True, 6, 2), []
+    for i, t in docs:
+        data = np.frombuffer(t.encode(), np.uint8)
+        values, bounds, _ = unit.values(data, np.array([0, len(data)]))
+        keys = np.unique(common.signed(unit.runs(values, bounds)[0])).tolist()
+        rows.append((bytes([i]), i, t, keys, [True] * len(keys)))
+    return spark.createDataFrame(rows, "id binary, doc_id long, text string, keys array<long>, hots array<boolean>")
+
+
+def test_unnumbered_rows_with_crowded_anchors(spark):
+    """A null doc_id has none smaller, also where its text is that of many others."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    docs = [(i, f"a{i} {shared} b{i}") for i in range(8)] + [(None, f"{shared} c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, 6, 2, 3).collect()}
+    assert got == {0: 0, None: 0} | dict.fromkeys(range(1, 8), 20)
+
+
 def test_texts_stay_or_shrink(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     docs = [(1, f"one  {shared}\nmore"), (2, f"two {shared} else"), (3, "left \n as it is"), (4, "left \n as it is")]
