@@ -5,6 +5,11 @@ of the half of its documents that lie closest together, by concentration steps:
 take the h nearest by Mahalanobis distance, estimate anew from those, and repeat. A document whose distance from its
 group's estimate is beyond the cutoff, on the side of any statistic that marks poor text, is rejected.
 
+The estimated scatter decides, but for rounding: most texts have no symbols and no repeats, and such a statistic has no
+scatter in the nearest half. No document's spread is taken for less than one symbol, line, repeated passage or word of
+its own text makes, which is little in a long text. The scatter is scaled to that of all documents by the median distance
+that a normal vector has, of as many dimensions as were estimated and not rounding.
+
 A concentration step is two aggregations over all documents: counts of distances by fine bins (the bin of the h-th
 nearest is read from them, so no group is ever sorted or collected), and sums of products of those nearer. A group that
 holds a third of all rows costs no more than partial sums in each task.
@@ -23,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,9 +144,18 @@ def vectors() -> dict[str, Column]:
     }
 
 
+def rounding() -> dict[str, Column]:
+    """What one symbol, repeated line, shortest repeated passage (six words), or word more or less changes in `vectors`."""
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
+    steps = (F.log1p(1 / n / 0.02), F.log1p(1 / lines / 0.05), F.log1p(6 / n / 0.05), F.log1p(1 / n / 0.05), 1 / n)
+    return dict(zip(ROUNDING, steps))
+
+
 X = ("x0", "x1", "x2", "x3", "x4")
-#: Spreads below these are taken for rounding of counts in short texts, not for structure.
-FLOOR = (0.35, 0.35, 0.35, 0.25, 0.12)
+ROUNDING = ("r0", "r1", "r2", "r3", "r4")
+#: Spread that `mcd` allows for where the table has no rounding.
+LEAST = 1e-3
 #: Distances are counted in bins of a 64th of a doubling.
 BINS = 64
 
@@ -155,23 +170,25 @@ def _bin(d2: Column) -> Column:
 
 
 def _estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """From counts, sums and sums of products of each group: mu and the inverse of the floored scatter."""
+    """From counts, sums and sums of products of each group: mu, the scatter, the inverse of the scatter with variances of
+    rounding at least, and how many dimensions are estimated and not rounding."""
     p = len(X)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys) + (", " if keys else "") + "n long, mu array<double>, inv array<double>, scale double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys) + (", " if keys else "") + "floor array<double>, mu array<double>, cov array<double>, inv array<double>, dims double"
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mus, invs, scales = [], [], []
+            mus, covs, invs, dims = [], [], [], []
             for row in batch.to_pylist():
                 n, s = row["n"], np.array(row["s"])
                 mu = s / n
                 cov = np.array(row["q"]).reshape(p, p) / n - np.outer(mu, mu)
-                cov += np.diag(np.maximum(0, np.array(FLOOR) ** 2 - np.diag(cov)))
-                cov += np.eye(p) * 1e-9
+                inv = np.linalg.inv(cov + np.diag(np.maximum(0, np.array(row["floor"]) ** 2 - np.diag(cov))) + np.eye(p) * 1e-9)
                 mus.append(mu.tolist())
-                invs.append(np.linalg.inv(cov).ravel().tolist())
-                scales.append(float(np.linalg.slogdet(cov)[1]))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("n"), pa.array(mus, pa.list_(pa.float64())), pa.array(invs, pa.list_(pa.float64())), pa.array(scales, pa.float64())], [*keys, "n", "mu", "inv", "scale"])
+                covs.append(cov.ravel().tolist())
+                invs.append(inv.ravel().tolist())
+                dims.append(float(np.trace(inv @ cov)))
+            arrays = [pa.array(c, pa.list_(pa.float64())) for c in (mus, covs, invs)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("floor"), *arrays, pa.array(dims, pa.float64())], [*keys, "floor", "mu", "cov", "inv", "dims"])
 
     return sums.mapInArrow(solve, schema)
 
@@ -179,7 +196,7 @@ def _estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
     s = F.array(*[F.sum(x) for x in X])
     q = F.array(*[F.sum(F.col(a) * F.col(b)) for a in X for b in X])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), s.alias("s"), q.alias("q"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("floor").alias("floor"), s.alias("s"), q.alias("q"))
 
 
 def _joined(df: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,27 +206,33 @@ def _joined(df: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(est, on, "left").drop(*[f"_{k}" for k in keys])
 
 
+def _middle(p: Column) -> Column:
+    """The median of chi-square with p degrees of freedom, by Wilson and Hilferty."""
+    return p * F.pow(1 - 2 / (9 * p), F.lit(3))
+
+
 def mcd(df: DataFrame, keys: list[str], steps: int = 4, share: float = 0.5, name: str = "mcd") -> DataFrame:
-    """keys, n, mu, inv and shrink: MCD estimates of each group of `df` over the columns X. The scatter is scaled so that
-    the h-th distance is what a normal vector of this dimension would have (consistency)."""
-    medians = [F.percentile_approx(x, F.lit(0.5), F.lit(2000)) for x in X]
+    """keys, n, mu and cov: MCD estimates of each group of `df` over the columns X, where a variance is compared as the
+    group's median rounding at least. The scatter is scaled so that the h-th distance is what a normal vector would have
+    (consistency), in the dimensions that aren't rounding; `cov` itself has no floor."""
+    median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(2000))
     spreads = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)) for x in X]
-    start = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*medians).alias("mu"), F.array(*[(s[1] - s[0]) / 1.349 for s in spreads]).alias("sd"))
+    floor = F.array(*[F.greatest(median(r), F.lit(LEAST)) if r in df.columns else F.lit(LEAST) for r in ROUNDING])
+    start = df.groupBy(*keys).agg(F.array(*map(median, X)).alias("mu"), F.array(*[(s[1] - s[0]) / 1.349 for s in spreads]).alias("sd"), floor.alias("floor"))
     p = len(X)
-    inv = F.array(*[(1 / F.greatest(F.col("sd")[i], F.lit(FLOOR[i])) ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(p)])
-    est = staged(start.select(*keys, "n", "mu", inv.alias("inv"), F.lit(0.0).alias("scale")), name)
+    inv = F.array(*[(1 / F.greatest(F.col("sd")[i], F.col("floor")[i]) ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(p)])
+    est = staged(start.select(*keys, "floor", "mu", inv.alias("inv")), name)
     for _ in range(steps):
-        far = _joined(df, est.select(*keys, "mu", "inv"), keys).withColumn("bin", _bin(_distance()))
+        far = _joined(df, est.select(*keys, "floor", "mu", "inv"), keys).withColumn("bin", _bin(_distance()))
         cut = _cuts(far, keys, share)
         near = _joined(far.drop("mu", "inv"), cut, keys).where(F.col("bin") <= F.col("cut"))
         est = staged(_estimates(_moments(near, keys), keys), name)
     far = _joined(df, est.select(*keys, "mu", "inv"), keys).withColumn("bin", _bin(_distance()))
     cut = _cuts(far, keys, share)
-    # the median of chi-square with p degrees of freedom, by Wilson and Hilferty
-    middle = p * (1 - 2 / (9 * p)) ** 3
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"))
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     out = _joined(_joined(est, cut, keys), sized, keys)
-    return staged(out.select(*keys, F.col("n_all").alias("n"), "mu", "inv", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / BINS) / middle).alias("shrink")), name)
+    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / BINS) / _middle(F.greatest(F.col("dims"), F.lit(0.5))))
+    return staged(out.select(*keys, "n", "mu", F.array(*[F.col("cov")[i] * scale for i in range(p * p)]).alias("cov")), name)
 
 
 def _cuts(far: DataFrame, keys: list[str], share: float) -> DataFrame:
@@ -223,30 +246,43 @@ def _cuts(far: DataFrame, keys: list[str], share: float) -> DataFrame:
     return ranked.where(F.col("upto") >= F.floor(F.col("all") * share) + 1).groupBy(*keys).agg(F.min("bin").alias("cut"))
 
 
-#: The 0.9999 quantile of chi-square with 5 degrees of freedom is 25.7; texts have heavier tails than normal vectors.
-CUTOFF = 72.0
+#: The 0.9999 quantile of chi-square with 5 degrees of freedom.
+CUTOFF = 25.74
+
+
+def _verdict(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Array:
+    """(distance, poor) of each document from its estimate, whose spreads are the document's rounding at least. Poor is
+    what marks poor text, by two spreads: symbols, repeated lines or words, non-letters, odd word length."""
+    p, known = len(X), mu.is_valid()
+    x, least, mu, cov = (c.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in ((x, p), (least, p), (mu, p), (cov, p * p)))
+    off, var, i = x - mu, cov.reshape(-1, p, p).copy(), np.arange(p)
+    var[:, i, i] = np.maximum(var[:, i, i], least**2)
+    distance = np.einsum("ij,ij->i", off, np.linalg.solve(var, off[..., None])[..., 0])
+    above = off > 2 * np.sqrt(var[:, i, i])
+    poor = above[:, :4].any(axis=1) | (np.abs(off[:, 4]) > 2 * np.sqrt(var[:, 4, 4]))
+    at = pa.compute.if_else(known, pa.compute.subtract(pa.compute.cumulative_sum(known.cast(pa.int64())), 1), None)
+    return pa.StructArray.from_arrays([pa.array(distance).take(at), pa.array(poor).take(at)], ["distance", "poor"])
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4, keep_text: bool = False) -> DataFrame:
     """`docs`, its statistics, base_failed, distance (squared, robust) and kept. Text stays only if asked for, and then
     its statistics are counted again, so that it need not be staged."""
-    stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors()), "stats")
+    stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding()), "stats")
     level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
     lang, source, none = F.col("lang"), F.col("source"), F.lit(None).cast("string")
-    fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, lang, source))).alias("g"), *X).select("g.*", *X)
+    fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, lang, source))).alias("g"), *X, *ROUNDING).select("g.*", *X, *ROUNDING)
     found = mcd(fit, ["level", "lang", "source"], steps).where(F.col("n") >= min_group)
-    of = lambda n, keys, c: found.where(F.col("level") == n).select(*keys, F.struct("mu", "inv", "shrink").alias(c))
+    of = lambda n, keys, c: found.where(F.col("level") == n).select(*keys, F.struct("mu", "cov").alias(c))
     if keep_text:
-        stats = statistics(docs, True).withColumn("base_failed", base_failed()).withColumns(vectors())
+        stats = statistics(docs, True).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding())
     x = _joined(stats, of(2, ["lang", "source"], "e1"), ["lang", "source"])
     x = _joined(x, of(1, ["lang"], "e2"), ["lang"])
     x = _joined(x.withColumn("level", F.lit(0)), of(0, ["level"], "e3"), ["level"])
-    x = x.withColumn("e", F.coalesce("e1", "e2", "e3")).withColumns({"mu": F.col("e.mu"), "inv": F.col("e.inv")})
-    x = x.withColumn("distance", _distance() / F.col("e.shrink"))
-    # only what marks poor text counts against a document: symbols, repeated lines or words, non-letters, odd word length
-    poor = reduce(lambda a, b: a | b, [F.col(f"x{i}") > F.col("mu")[i] + 2 * FLOOR[i] for i in range(4)]) | (F.abs(F.col("x4") - F.col("mu")[4]) > 2 * FLOOR[4])
-    kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & poor, F.lit(False))
-    return x.withColumn("kept", kept).drop("e", "e1", "e2", "e3", "mu", "inv", "level", *X)
+    verdict = F.arrow_udf(_verdict, "distance double, poor boolean")
+    x = x.withColumn("e", F.coalesce("e1", "e2", "e3"))
+    x = x.withColumn("e", verdict(F.array(*X), F.array(*ROUNDING), F.col("e.mu"), F.col("e.cov"))).withColumn("distance", F.col("e.distance"))
+    kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & F.col("e.poor"), F.lit(False))
+    return x.withColumn("kept", kept).drop("e", "e1", "e2", "e3", "level", *X, *ROUNDING)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

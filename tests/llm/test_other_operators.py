@@ -167,6 +167,20 @@ def test_rules_odd_cases(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def plain_text(rng, n=400):
+    return "\n".join(" ".join("".join(rng.choices("abcdefghijklm", k=rng.randint(2, 9))) for _ in range(20)) + "." for _ in range(n // 20))
+
+
+def test_rules_reject_by_estimated_scatter(spark):
+    rng = random.Random(8)
+    texts = [plain_text(rng) for _ in range(300)]
+    texts[0] = "".join(rng.choice("0123456789") if c.isalpha() and rng.random() < 0.3 else c for c in texts[0])
+    texts[1] = re.sub(r"(\w+) (\w+)", r"\1\2", plain_text(rng, 800))
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert not kept[0] and not kept[1] and sum(kept.values()) >= 296
+
+
 def test_mcd_ignores_outliers(spark):
     rng = np.random.default_rng(1)
     good = rng.normal(0, 1, (700, 5)) * [2, 1, 1, 0.5, 0.3] + [3, 0, 1, 2, 5]
