@@ -14,7 +14,8 @@ A concentration step is two aggregations over all documents: counts of distances
 nearest is read from them, so no group is ever sorted or collected), and sums of products of those nearer. A group that
 holds a third of all rows costs no more than partial sums in each task.
 
-Groups of fewer than `min_group` documents take their language's estimate, and languages of fewer the whole table's.
+Every group is estimated, and a group of n documents counts for n / (n + `prior`) of its estimate: the rest is its
+language's, which leans on the whole table's in the same way. No size of a group changes the rule.
 
 Defined results: a null text has no words and fails the base rules; null lang and source form groups of their own; equal
 rows get equal verdicts; repeated rows each count; an empty table gives an empty table; other columns travel along and
@@ -264,20 +265,37 @@ def _verdict(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Ar
     return pa.StructArray.from_arrays([pa.array(distance).take(at), pa.array(poor).take(at)], ["distance", "poor"])
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = 200, steps: int = 4, keep_text: bool = False) -> DataFrame:
+#: Documents of a group that count as much as its language's estimate.
+PRIOR = 50
+
+
+def _blended(part: DataFrame, whole: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """Estimates of groups, leaning on those of `whole` by n against `prior`: location and scatter of the mixture."""
+    p, w = len(X), F.col("n") / (F.col("n") + prior)
+    both = _joined(part, whole.select(*keys, F.col("mu").alias("mu_"), F.col("cov").alias("cov_")), keys)
+    apart = [F.col("mu")[i] - F.col("mu_")[i] for i in range(p)]
+    mu = F.array(*[w * F.col("mu")[i] + (1 - w) * F.col("mu_")[i] for i in range(p)])
+    cov = F.array(*[w * F.col("cov")[i * p + j] + (1 - w) * F.col("cov_")[i * p + j] + w * (1 - w) * apart[i] * apart[j] for i in range(p) for j in range(p)])
+    return both.select(*part.columns[:-2], mu.alias("mu"), cov.alias("cov"))
+
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: int = 4, keep_text: bool = False) -> DataFrame:
     """`docs`, its statistics, base_failed, distance (squared, robust) and kept. Text stays only if asked for, and then
     its statistics are counted again, so that it need not be staged."""
     stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding()), "stats")
     level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
     lang, source, none = F.col("lang"), F.col("source"), F.lit(None).cast("string")
     fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, lang, source))).alias("g"), *X, *ROUNDING).select("g.*", *X, *ROUNDING)
-    found = mcd(fit, ["level", "lang", "source"], steps).where(F.col("n") >= min_group)
-    of = lambda n, keys, c: found.where(F.col("level") == n).select(*keys, F.struct("mu", "cov").alias(c))
+    found = mcd(fit, ["level", "lang", "source"], steps)
+    at = lambda n: found.where(F.col("level") == n).withColumn("level", F.lit(0))
+    langs = staged(_blended(at(1), at(0), ["level"], prior), "mcd-langs")
+    sources = staged(_blended(at(2), langs, ["lang"], prior), "mcd-sources")
+    of = lambda est, keys, c: est.select(*keys, F.struct("mu", "cov").alias(c))
     if keep_text:
         stats = statistics(docs, True).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding())
-    x = _joined(stats, of(2, ["lang", "source"], "e1"), ["lang", "source"])
-    x = _joined(x, of(1, ["lang"], "e2"), ["lang"])
-    x = _joined(x.withColumn("level", F.lit(0)), of(0, ["level"], "e3"), ["level"])
+    x = _joined(stats, of(sources, ["lang", "source"], "e1"), ["lang", "source"])
+    x = _joined(x, of(langs, ["lang"], "e2"), ["lang"])
+    x = _joined(x.withColumn("level", F.lit(0)), of(at(0), ["level"], "e3"), ["level"])
     verdict = F.arrow_udf(_verdict, "distance double, poor boolean")
     x = x.withColumn("e", F.coalesce("e1", "e2", "e3"))
     x = x.withColumn("e", verdict(F.array(*X), F.array(*ROUNDING), F.col("e.mu"), F.col("e.cov"))).withColumn("distance", F.col("e.distance"))

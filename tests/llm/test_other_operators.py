@@ -181,6 +181,14 @@ def test_rules_reject_by_estimated_scatter(spark):
     assert not kept[0] and not kept[1] and sum(kept.values()) >= 296
 
 
+def test_rules_small_source_has_its_estimate(spark):
+    rng = random.Random(9)
+    long_words = lambda: re.sub(r"(\w+) (\w+)", r"\1\2", plain_text(rng, 800))
+    rows = [(i, plain_text(rng), "en", "big") for i in range(600)] + [(1000 + i, long_words(), "en", "small") for i in range(150)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(k for i, k in kept.items() if i >= 1000) >= 147 and sum(k for i, k in kept.items() if i < 1000) >= 590
+
+
 def test_mcd_ignores_outliers(spark):
     rng = np.random.default_rng(1)
     good = rng.normal(0, 1, (700, 5)) * [2, 1, 1, 0.5, 0.3] + [3, 0, 1, 2, 5]
