@@ -20,9 +20,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 on five-word shingles from 0.8: the least doc_id of each component stays, once."""
-    kept = near_dup.near_duplicates(docs, k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """Operator 4 on five-word shingles from 0.8: the least doc_id of each component stays. Of its rows, those with equal
+    texts stay once, and different texts all stay. Rows with a null doc_id are linked with nothing and all stay."""
+    known = docs.where(F.col("doc_id").isNotNull())
+    kept = near_dup.near_duplicates(known, k=5, num=80, den=100).where("kept").select("doc_id")
+    once = known.join(kept, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest"])
+    return once.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

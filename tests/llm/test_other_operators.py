@@ -315,3 +315,12 @@ def test_pipeline(spark):
     whole = {d: sum((parts[s] for s in sorted(parts)), []) for d, parts in ids.items()}
     assert whole == {d: [*e, 1] for d, e in zip(after, model.encode(list(after.values())))}
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    rng = random.Random(10)
+    a, b, c, d = (plain_text(rng, 100) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (None, None), (1, c), (1, c), (1, d), (2, c), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect())
+    assert got == collections.Counter({(None, a): 2, (None, b): 1, (None, None): 1, (1, c): 1, (1, d): 1, (3, None): 1})
