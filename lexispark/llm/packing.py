@@ -24,7 +24,7 @@ from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
 
 LENGTH = 2048
-#: Pieces a group; with their ids, so many that a group's ids take 16 MB at most.
+#: Pieces a group on average; with their ids, so many that a group's ids take about 16 MB.
 GROUP_PIECES, GROUP_WITH_IDS = 16384, 2048
 
 
@@ -91,13 +91,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, eod: int = 1, length: in
     """The pieces with sequence_id and offset. With keep_ids the pieces' ids come along: sorted by sequence_id and
     offset they are the sequences."""
     group_pieces = group_pieces or (GROUP_WITH_IDS if keep_ids else GROUP_PIECES)
-    cut = pieces(docs, tokenizer or default_path(), eod, length, keep_ids)
-    if not keep_ids:
-        cut = staged(cut, "pieces")  # tokenized once; the number of groups needs the number of pieces
-        n = cut.count()
-    else:
-        n = docs.count() * 2
-    n_groups = max(1, -(-n // group_pieces))
+    # tokenized once; the number of groups needs the number of pieces
+    cut = staged(pieces(docs, tokenizer or default_path(), eod, length, keep_ids), "pieces")
+    n_groups = max(1, -(-cut.count() // group_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "nth") + ", sequence_id long, offset long"
     names = [f.name for f in cut.schema if f.name != "nth"]
 

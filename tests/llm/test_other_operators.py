@@ -130,6 +130,13 @@ def test_first_fit():
     assert all((bins[i], offsets[i]) == want[i] for i in want)
 
 
+def test_packing_groups_of_long_documents(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 300) for i in range(200)], "doc_id long, text string")
+    rows = packing.pack(docs, length=16, group_pieces=256, keep_ids=True).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) > 10 * 200 and max(groups.values()) <= 1.5 * 256
+
+
 # ---- 6 -------------------------------------------------------------------------------------------------------------
 def brute_stats(t):
     t = t or ""
