@@ -1,14 +1,13 @@
-"""3. Suffix-array dedup: sampled splitters range-partition the suffixes, buckets sort locally, over the bytes of texts.
+"""3. Suffix-array dedup, by minimizer-anchored hash groups in place of sorted suffixes, over the bytes of texts.
 
-Suffixes are the starts of windows of `length` bytes. Their leading token is the anchor's k bytes (its hash orders
-them); splitters sampled from all leading tokens range-partition them into buckets of about equal size, and as a splitter
-is a whole token, suffixes that lead with the same one are always in the same bucket: whether a bucket's last suffix
-equals the next one's first is settled by the partitioning. Each bucket is sorted by a multikey quicksort that takes
-`BLOCK` bytes as one key: suffixes are parted by the first block, those that are equal so far by the next, and a suffix
-that differs from all others is done. Those that go through to `length` bytes with another are the repeats, of one
-document or of several, overlapping or not.
+Suffixes are the starts of windows of `length` bytes. Each is put by its anchor, the least-hash gram of k bytes somewhere
+inside the window: a range partition over the anchors' hashes, not over leading tokens. Equal windows have equal anchors
+and so are always in the same bucket, and nothing is compared across boundaries. In a bucket there is no lexicographic
+order: `multikey_quicksort` parts suffixes by the hash of their first `BLOCK` bytes, those that are equal so far by the
+next, as a multikey quicksort would, and a suffix that differs from all others is done. Those that go through to `length`
+bytes with another are the repeats, of one document or of several, overlapping or not.
 
-Tokens that lead more suffixes than a task should hold are not sorted but named whole and counted (see repeats.py).
+Anchors of more suffixes than a task should hold are not sorted but named whole and counted (see repeats.py).
 
 Defined results: a null text is empty; texts shorter than `length` keep all their bytes; all places of a repeated string
 lose it, the first included; rows that repeat a doc_id, equal or not, are documents of their own; of equal texts of
