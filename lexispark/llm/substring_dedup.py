@@ -1,13 +1,12 @@
-"""2. Substring dedup: prefix-partitioned suffix trees over words.
+"""2. Substring dedup, by anchored windows refined at fixed depths in place of prefix-partitioned suffix trees, over words.
 
-Suffixes are the windows' starts. Their groups are the variable-length prefixes: a group is all suffixes around one
-anchor of `k` words; where that would not fit a task's memory (a hot anchor) the prefix grows to the whole `length`
-words, so that each group is one string and needs no tree. Every other group gets its subtree, built level by level:
-each level parts the suffixes of a node by their next words, and suffixes left alone are leaves. The deep internal nodes,
-those at depth `length` with two leaves or more, are the repeats; a suffix whose node has a leaf in a document with a
-smaller doc_id is marked, and the words that marked windows cover are removed.
+Suffixes are the windows' starts. A group is not a prefix but all windows around one anchor, the least-hash gram of `k`
+words somewhere inside them; where that would not fit a task's memory (a hot anchor) it is all windows of the same
+`length` words. No tree is built: every other group is parted level by level by the hashes of the windows' next `EDGE`
+words, at fixed depths, and windows left alone are done. What is still together at depth `length` are the repeats; a
+window with an equal one in a document with a smaller doc_id is marked, and the words that marked windows cover are removed.
 
-Only suffixes around anchors that occur in two documents are ever in a tree (see repeats.py); the others can't be
+Only suffixes around anchors that occur in two documents are ever in a group (see repeats.py); the others can't be
 repeated.
 
 Defined results: a null text has no words; a text of fewer than `length` words keeps all; rows that repeat a doc_id aren't
