@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Texts are kilobytes each and some are very long, so what goes to a worker at once is bounded by bytes.
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -17,6 +20,8 @@ def ready(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     here = Path(__file__).resolve().parent
     at = Path(tempfile.mkdtemp(prefix="lexispark-")) / "lexispark.zip"
     with zipfile.ZipFile(at, "w") as z:
