@@ -7,9 +7,11 @@ for one slice (or one document, if that is longer) and not for a whole Arrow bat
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,12 @@ _staged: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a folder of our own if all runs on this machine; a cluster
+    must name one, since its executors don't share their temporary folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return (found or "/tmp/lexispark-checkpoint").rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or f"{tempfile.gettempdir()}/lexispark-checkpoint").rstrip("/")
 
 
 def _drop_staged() -> None:
@@ -41,21 +46,24 @@ def _drop_staged() -> None:
 atexit.register(_drop_staged)
 
 
-def drop_staged(spark: SparkSession, path: str) -> None:
-    """Delete a staged table before the session ends."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-    _staged.pop(path, None)
-
-
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """`df`, written as Parquet in the shared folder and read again: its lineage is cut, and a lost executor costs no
-    more than what it was doing. The folder goes at the end of the session."""
+    more than what it was doing. The folder goes with `release`, or at the end of the session."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lexispark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
     _staged[at] = (spark, name)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.staged_at = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        spark, _ = _staged.pop(table.staged_at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,31 +101,12 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
-
-
-@lru_cache(maxsize=1)
-def byte_codes() -> np.ndarray:
-    """A random 64-bit code for each byte; the same in every worker."""
-    return np.random.default_rng(20240607).integers(1, _MASK, 256, dtype=_U, endpoint=True)
-
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    up, down = _powers.get(base, (np.zeros(0, _U), np.zeros(0, _U)))
-    if len(up) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up, down = np.full(size, base, _U), np.full(size, pow(base, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        if size <= 1 << 22:
-            _powers[base] = (up, down)
-    return up, down
+_FOLD = _U(0x9E3779B97F4A7C15)
+#: Of a little-endian word of eight bytes, the first n.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,34 +116,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def prefix_hash(values: np.ndarray, base: int) -> np.ndarray:
-    """H with (H[e] - H[s]) * base**-s a hash of values[s:e] that does not depend on s."""
-    up, _ = powers(base, len(values) + 1)
-    out = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span: eight at a time, each step mixed before the next, so that no family of texts
+    collides by its structure as with sums of powers. It depends on the span's bytes and the seed alone."""
+    size = ends - starts
+    out = mix(size.astype(_U) + _U((seed * 0x2545F4914F6CDD1D + 1) & _MASK))
+    view, left, at = eights(data), size, starts
+    todo = np.arange(len(starts))
+    long = size > LONG_SPAN
+    if long.any():
+        raw, key = data.tobytes(), seed.to_bytes(8, "little")
+        for i in np.flatnonzero(long).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        todo, at, left = todo[~long], at[~long], left[~long]
+    while True:
+        more = left > 0
+        if not more.all():
+            todo, at, left = todo[more], at[more], left[more]
+        if not len(todo):
+            return out
+        out[todo] = mix((out[todo] ^ (view[at] & _FIRST[np.minimum(left, 8)])) + _FOLD)
+        at, left = at + 8, left - 8
+
+
+def fold(values: np.ndarray, places: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """A hash of the k values from each place on."""
+    h = np.full(len(places), (seed * 0x2545F4914F6CDD1D + k) & _MASK, _U)
+    for i in range(k):
+        h = mix((h ^ values[places + i]) + _FOLD)
+    return h
+
+
+def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k values."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    h = np.full(n, k, _U)
+    for i in range(k):
+        h = mix((h ^ values[i : i + n]) + _FOLD)
+    return h
 
 
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    _, down = powers(base, len(h))
-    return mix((h[ends] - h[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0x2545F4914F6CDD1D))
+def byte_gram_hash(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k bytes, eight at a time."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, _U)
+    view, h = eights(data), np.full(n, k, _U)
+    for i in range(0, k, 8):
+        x = view[i : i + n]
+        h = mix((h ^ (x if k - i >= 8 else x & _FIRST[k - i])) + _FOLD)
+    return h
 
 
-def byte_hash(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(byte_codes()[data], _BASE)
+def spans_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans' bytes as a binary column."""
+    size = ends - starts
+    return binary_array(data[ragged(starts, size)], size)
 
 
-def byte_spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(h, starts, ends, _BASE)
+def codes_of(spans: pa.Array) -> tuple[np.ndarray, int]:
+    """(a number for each value, equal exactly where values are; how many there are)."""
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), len(found.dictionary)
 
 
-def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k values."""
-    n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    h, (_, down) = prefix_hash(values, _STEP), powers(_STEP, len(values) + 1)
-    return mix((h[k:] - h[:-k]) * down[:n])
+def pairs_coded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of small numbers, equal exactly where the pairs are, below the number of pairs."""
+    _, out = np.unique(a.astype(np.int64) * (int(b.max()) + 1 if len(b) else 1) + b, return_inverse=True)
+    return out
 
 
 class Words:
@@ -175,18 +213,20 @@ class Words:
         self.ends = np.flatnonzero(last) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
 
-    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        return byte_spans(byte_hash(self.data if data is None else data), self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return span_hash(self.data, self.starts, self.ends, seed)
+
+    def codes(self) -> np.ndarray:
+        """A number for each word, equal exactly where words are."""
+        return codes_of(spans_array(self.data, self.starts, self.ends))[0]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
     def joined(self, keep: np.ndarray) -> list[bytes]:
         """Each document's kept words, joined by one space."""
-        size = self.ends - self.starts
         out, data, starts, ends = [], self.data.tobytes(), self.starts, self.ends
         kept = np.add.reduceat(np.r_[keep, False].astype(np.int64), self.bounds[:-1]) * (np.diff(self.bounds) > 0) if len(self.bounds) > 1 else []
-        del size
         for d in range(len(self.bounds) - 1):
             a, b = self.bounds[d], self.bounds[d + 1]
             if kept[d] == b - a:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import LOWER, Words, _STEP, binary_array, mix, prefix_hash, signed, span_hash, staged, text_slices
+from lexispark.llm.common import LOWER, Words, binary_array, fold, gram_hash, mix, release, signed, staged, text_slices
 from lexispark.session import ready
 
 _U = np.uint64
@@ -41,11 +41,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
         return np.zeros(0, _U), np.zeros(n + 1, np.int64)
     w = Words(LOWER[data], offsets)
     count = w.counts()
-    h = prefix_hash(w.hashes(), _STEP)
+    words = w.hashes()
     per = np.where(count >= k, count - k + 1, (count > 0).astype(np.int64))
     doc = np.repeat(np.arange(n), per)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per) + w.bounds[:-1][doc]
-    x = span_hash(h, start, np.minimum(start + k, w.bounds[1:][doc]), _STEP)
+    x, grams, short = np.zeros(len(doc), _U), gram_hash(words, k), count[doc] < k
+    x[~short] = grams[start[~short]]
+    for size in range(1, k):
+        these = short & (count[doc] == size)
+        x[these] = fold(words, start[these], size)
     order = np.lexsort((x, doc))
     x, doc = x[order], doc[order]
     new = np.ones(len(x), bool)

@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import IS_SPACE, Words, byte_hash, byte_spans, gram_hash, staged, text_slices
+from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, staged, text_slices
 from lexispark.session import ready
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -73,7 +73,6 @@ def slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out["n_symbols"] = _per_doc(np.flatnonzero(_SYMBOL[data]), offsets)
     out["n_alpha"] = _per_doc(np.flatnonzero(_ALPHA[data]), offsets)
     # lines: cut at \n and at document ends
-    h = byte_hash(data)
     stops = np.flatnonzero(data == 10)
     doc_end = offsets[1:]
     line_end = np.sort(np.concatenate([stops, doc_end]), kind="stable")
@@ -90,18 +89,20 @@ def slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     with_word = np.searchsorted(w.starts, line_end) > np.searchsorted(w.starts, line_start)
     line_start, line_end, line_doc = line_start[with_word], line_end[with_word], line_doc[with_word]
     out["n_lines"] = np.bincount(line_doc, minlength=n)
-    order, again, _ = _repeats(line_doc, byte_spans(h, line_start, line_end))
+    order, again, _ = _repeats(line_doc, codes_of(spans_array(data, line_start, line_end))[0])
     out["n_dup_lines"] = np.bincount(line_doc[order][again], minlength=n)
     if len(w.starts):
-        hashes = byte_spans(h, w.starts, w.ends)
+        words = w.codes().astype(np.int64)
         doc = np.repeat(np.arange(n), counts)
-        order, again, _ = _repeats(doc, hashes)
+        order, again, _ = _repeats(doc, words)
         out["n_distinct_words"] = counts - np.bincount(doc[order][again], minlength=n)
-        grams = gram_hash(hashes, 3)
-        at = np.arange(len(grams))
-        inside = at + 3 <= w.bounds[1:][doc[: len(grams)]]
-        at = at[inside]
-        order, before, after = _repeats(doc[at], grams[at])
+        at = np.arange(max(0, len(words) - 2))
+        at = at[at + 3 <= w.bounds[1:][doc[: len(at)]]]
+        if words.max() < 1 << 21:
+            grams = words[at] << 42 | words[at + 1] << 21 | words[at + 2]
+        else:
+            grams = pairs_coded(pairs_coded(words[at], words[at + 1]), words[at + 2])
+        order, before, after = _repeats(doc[at], grams)
         twice = at[order][before | after]
         marked = np.zeros(len(doc), bool)
         for i in range(3):

@@ -1,13 +1,13 @@
-"""2. Substring dedup, by anchored windows refined at fixed depths in place of prefix-partitioned suffix trees, over words.
+"""2. Substring dedup, by prefix-partitioned suffix trees, over words.
 
-Suffixes are the windows' starts. A group is not a prefix but all windows around one anchor, the least-hash gram of `k`
-words somewhere inside them; where that would not fit a task's memory (a hot anchor) it is all windows of the same
-`length` words. No tree is built: every other group is parted level by level by the hashes of the windows' next `EDGE`
-words, at fixed depths, and windows left alone are done. What is still together at depth `length` are the repeats; a
-window with an equal one in a document with a smaller doc_id is marked, and the words that marked windows cover are removed.
-
-Only suffixes around anchors that occur in two documents are ever in a group (see repeats.py); the others can't be
-repeated.
+Suffixes start at sampled words, the anchors that every repeat of `length` words has at one place (see repeats.py). They are
+split into groups by their first `k` words, and where more than `hot` share those, by the first 16, 32 or `length` words, so
+that each group fits a task's memory. A group's suffixes are made into a tree, from the root down: the suffixes of a node are
+parted by their next word, those left alone are leaves, and the tree is kept as its leaves in order and the depths of
+the inner nodes between neighbours. So are the texts before the anchors, read backwards. Suffixes below an inner node at depth
+d whose texts before also share `length` - d words or more have a repeat in common; of the documents under such
+a node all but the one with the least doc_id lose the repeat's words. Nodes above a group's prefix are shared by several
+groups: windows that end there are counted by name.
 
 Defined results: a null text has no words; a text of fewer than `length` words keeps all; rows that repeat a doc_id aren't
 smaller than each other; of equal texts the least doc_id stays as it is and the others lose every word (if there are
@@ -22,50 +22,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Words, gram_hash, text_slices
-from lexispark.llm.repeats import HOT, Unit, refined, removed, spans, text_id
+from lexispark.llm.common import Words, text_slices
+from lexispark.llm.repeats import HOT, Unit, removed, spans, text_id
 
 LENGTH, K = 50, 8
-#: Words of an edge of a tree.
-EDGE = 10
-
-
-def deep_nodes(values: np.ndarray, place: np.ndarray, group: np.ndarray, length: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes, node) below the internal nodes at depth `length`: the tree's levels are `edge` words apart, the last
-    level ends at `length`."""
-    depths = list(range(0, length - edge, edge)) + [length - edge]
-    symbols = gram_hash(values, edge)
-    alive, node = np.arange(len(place)), group
-    for depth in depths:
-        alive, node = refined(node, symbols[place[alive] + depth], alive)
+#: Lengths of prefixes beyond the first k words.
+PREFIXES = (16, 32)
+
+
+def tree(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The leaves of each group's tree in order: top down, the suffixes of a node are parted by their next word."""
+    order, node = np.arange(len(rows)), group
+    alive = np.arange(len(rows))  # places of the order whose suffixes aren't alone in their node
+    for depth in range(rows.shape[1] + 1):
+        counts = np.bincount(node, minlength=1)
+        many = counts[node] > 1
+        alive, node = alive[many], node[many]
         if not len(alive):
             break
-    return alive, node
+        here = order[alive]
+        word = rows[here, depth] if depth < rows.shape[1] else size[here]
+        by = np.lexsort((size[here], word, node))
+        order[alive] = here[by]
+        node, word = node[by], word[by]
+        node = np.cumsum(np.r_[True, (node[1:] != node[:-1]) | (word[1:] != word[:-1])]) - 1
+    return order
+
+
+def _smaller_elsewhere(table: pa.Table):
+    """Marks the members of a class whose doc_id isn't its least."""
+    ids = table.column("doc_id").combine_chunks()
+    rank = pc.rank(ids, "ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+
+    def chosen(who: np.ndarray, label: np.ndarray) -> np.ndarray:
+        order = np.argsort(label, kind="stable")
+        new = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]])
+        least = np.empty(len(who), np.int64)
+        least[order] = np.repeat(np.minimum.reduceat(rank[who][order], new), np.diff(np.append(new, len(who))))
+        return (rank[who] > least) & known[who]
 
+    return chosen
 
-def _smaller_elsewhere(length: int, edge: int):
-    def flag(table: pa.Table, values: np.ndarray, place: np.ndarray, row: np.ndarray, group: np.ndarray) -> np.ndarray:
-        marked = np.zeros(len(place), bool)
-        if len(place):
-            suffix, node = deep_nodes(values, place, group, length, edge)
-            if len(suffix):
-                doc = table.column("doc_id").to_pandas()
-                known = doc.notna().to_numpy()
-                doc = doc.fillna((1 << 63) - 1).to_numpy().astype(np.int64)
-                least = np.full(int(node.max()) + 1, (1 << 63) - 1)
-                np.minimum.at(least, node, doc[row[suffix]])
-                marked[suffix] = (doc[row[suffix]] > least[node]) & known[row[suffix]]
-        return marked
 
-    return flag
+def _groups(suffixes: DataFrame, longer: bool = False) -> DataFrame:
+    return suffixes.repartition("key")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """id, least_id, copies, spans of repeated windows; see repeats.spans."""
-    return spans(docs, Unit(True, length, k), lambda runs: runs.repartition("key"), _smaller_elsewhere(length, min(EDGE, length)), True, hot)
+    k = min(k, length)
+    unit = Unit(True, length, k, tuple(n for n in PREFIXES if k < n < length) + (length,))
+    return spans(docs, unit, _groups, tree, _smaller_elsewhere, True, hot)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, digests: bool = False) -> DataFrame:

@@ -1,13 +1,12 @@
-"""3. Suffix-array dedup, by minimizer-anchored hash groups in place of sorted suffixes, over the bytes of texts.
+"""3. Suffix-array dedup, by range-partitioned suffixes, a local multikey quicksort and LCPs, over the bytes of texts.
 
-Suffixes are the starts of windows of `length` bytes. Each is put by its anchor, the least-hash gram of k bytes somewhere
-inside the window: a range partition over the anchors' hashes, not over leading tokens. Equal windows have equal anchors
-and so are always in the same bucket, and nothing is compared across boundaries. In a bucket there is no lexicographic
-order: `multikey_quicksort` parts suffixes by the hash of their first `BLOCK` bytes, those that are equal so far by the
-next, as a multikey quicksort would, and a suffix that differs from all others is done. Those that go through to `length`
-bytes with another are the repeats, of one document or of several, overlapping or not.
-
-Anchors of more suffixes than a task should hold are not sorted but named whole and counted (see repeats.py).
+Suffixes start at sampled bytes, the anchors that every repeat of `length` bytes has at one place (see repeats.py). They are
+partitioned in byte order by their leading bytes: `k` of them, or 64, 160 or `length` where more than `hot` suffixes share
+those. The splitters are sampled by Spark's range partitioning. Each bucket sorts its suffixes by a multikey quicksort
+whose characters are eight bytes, and takes the longest common prefixes (LCP) of neighbours; likewise for the texts before
+the anchors, read backwards. Two windows are equal if their suffixes' LCP and that of the texts before them together
+span `length` bytes. Suffixes that agree in all their leading bytes are in one bucket; windows that end inside the leading bytes
+of a longer kind may have equals beyond the bucket's boundary, and those are compared across boundaries by name.
 
 Defined results: a null text is empty; texts shorter than `length` keep all their bytes; all places of a repeated string
 lose it, the first included; rows that repeat a doc_id, equal or not, are documents of their own; of equal texts of
@@ -25,42 +24,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import gram_hash, text_slices
-from lexispark.llm.repeats import HOT, Unit, refined, removed, spans, text_id
+from lexispark.llm.common import text_slices
+from lexispark.llm.repeats import HOT, Unit, removed, spans, text_id
 
 LENGTH, K = 400, 16
-#: Bytes that the quicksort takes as one key.
-BLOCK = 100
-
-
-def multikey_quicksort(values: np.ndarray, place: np.ndarray, group: np.ndarray, length: int, block: int) -> np.ndarray:
-    """The suffixes that equal another one in `length` values."""
-    keys = gram_hash(values, block)
-    alive, part = np.arange(len(place)), group
-    for depth in [*range(0, length - block, block), length - block]:
-        alive, part = refined(part, keys[place[alive] + depth], alive)
+#: Numbers of leading bytes beyond the first k.
+LEADING = (64, 160)
+
+
+def multikey_quicksort(rows: np.ndarray, size: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes within their groups; of rows that are equal so far, by the next eight bytes."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    keys = wide.view(">u8")
+    order, part, alive = np.arange(len(rows)), group, np.arange(len(rows))
+    for i in range(keys.shape[1] + 1):
+        many = np.bincount(part, minlength=1)[part] > 1
+        alive, part = alive[many], part[many]
         if not len(alive):
             break
-    return alive
+        here = order[alive]
+        # a text that ends before is least; zeros follow the end
+        key = keys[here, i].astype(np.uint64) if i < keys.shape[1] else size[here].astype(np.uint64)
+        by = np.lexsort((key, part))
+        order[alive] = here[by]
+        part, key = part[by], key[by]
+        part = np.cumsum(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])]) - 1
+    return order
 
 
-def _elsewhere(length: int, block: int):
-    def flag(table: pa.Table, values: np.ndarray, place: np.ndarray, row: np.ndarray, group: np.ndarray) -> np.ndarray:
-        marked = np.zeros(len(place), bool)
-        if len(place):
-            marked[multikey_quicksort(values, place, group, length, block)] = True
-        return marked
+def _elsewhere(table: pa.Table):
+    """Marks the members of a class of several."""
 
-    return flag
+    def chosen(who: np.ndarray, label: np.ndarray) -> np.ndarray:
+        order = np.argsort(label, kind="stable")
+        same = label[order][1:] == label[order][:-1]
+        out = np.empty(len(who), bool)
+        out[order] = np.append(False, same) | np.append(same, False)
+        return out
 
-
-def _buckets(runs: DataFrame) -> DataFrame:
-    return runs.repartitionByRange("key")
+    return chosen
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
     """id, least_id, copies, spans of repeated windows; see repeats.spans."""
-    return spans(docs, Unit(False, length, min(k, length)), _buckets, _elsewhere(length, min(BLOCK, length)), False, hot)
+    k = min(k, length)
+    unit = Unit(False, length, k, tuple(n for n in LEADING if k < n < length) + (length,))
+
+    def buckets(suffixes: DataFrame, longer: bool = False) -> DataFrame:
+        """In ranges of the leading bytes; `longer` ones are the key already."""
+        leading = suffixes if longer else suffixes.withColumn("key", F.substring("around", F.col("back").cast("int") + 1, F.lit(k)))
+        return leading.repartitionByRange("key")
+
+    return spans(docs, unit, buckets, multikey_quicksort, _elsewhere, False, hot)
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, digests: bool = False) -> DataFrame:

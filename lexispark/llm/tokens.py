@@ -1,7 +1,7 @@
 """Token ids of whole texts, as the `tokenizers` library gives them, from a byte-level BPE file, and fast.
 
-Whole texts are cut into the tokenizer's words with byte operations over many documents at once; every distinct word
-is encoded once a worker, and ids are gathered by word. Texts with characters or contractions that the byte rules don't
+Whole texts are cut into the tokenizer's words with byte operations over many documents at once; every distinct word, by
+its bytes, is encoded once a worker, and ids are gathered by word. Texts with characters or contractions that the byte rules don't
 cover go through the library itself, so the ids are the library's in every case (the tests compare them).
 """
 
@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from lexispark.llm.common import byte_hash, byte_spans, ragged, text_slices
+from lexispark.llm.common import ragged, text_slices
 
 #: Of a byte: 0 letter, 1 number, 2 white space, 3 other, 4 not covered here.
 _LETTER, _NUMBER, _SPACE, _OTHER, _BEYOND = range(5)
@@ -64,7 +64,7 @@ class BPE:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at: dict[bytes, int] = {}
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def by_library(self, text: str) -> np.ndarray:
@@ -75,13 +75,19 @@ class BPE:
             self._library.encode_special_tokens = True  # a text that holds their strings is ordinary text
         return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, found: np.ndarray, keys: np.ndarray, words: list[bytes]) -> None:
-        made = [self._one(w) for w in words]
-        size = np.fromiter(map(len, made), np.int64, len(made))
-        ids = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
-        self.keys, self.at = np.insert(self.keys, found, keys), np.insert(self.at, found, np.arange(len(keys)) + len(self.first))
-        first = len(self.ids) + np.cumsum(size) - size
-        self.first, self.size, self.ids = np.concatenate([self.first, first]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+    def _entries(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each word are, among those encoded so far."""
+        if len(self.at) > self.KEEP:
+            self._fresh()
+        new = [w for w in words if w not in self.at]
+        if new:
+            made = [self._one(w) for w in new]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            ids = np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
+            self.at.update(zip(new, range(len(self.first), len(self.first) + len(new))))
+            first = len(self.ids) + np.cumsum(size) - size
+            self.first, self.size, self.ids = np.concatenate([self.first, first]), np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where the tokenizer's words start: at a change of class, but one space belongs to what follows it, and so
@@ -105,18 +111,9 @@ class BPE:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         kind = _classes()[data]
         first = self._starts(data, offsets, kind)
-        end = np.append(first[1:], len(data))
-        distinct, example, word = np.unique(byte_spans(byte_hash(data), first, end), return_index=True, return_inverse=True)
-        if len(self.keys) > self.KEEP:
-            self._fresh()
-        found = np.searchsorted(self.keys, distinct)
-        new = np.append(self.keys, np.uint64(0))[found] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        new |= found == len(self.keys)
-        if new.any():
-            raw, ex = data.tobytes(), example[new]
-            self._learn(found[new], distinct[new], [raw[a:b] for a, b in zip(first[ex].tolist(), end[ex].tolist())])
-            found = np.searchsorted(self.keys, distinct)
-        entry = self.at[found][word]
+        spans = pa.py_buffer(np.append(first, len(data)).astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(first), [None, spans, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        entry = self._entries(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
         size = self.size[entry]
         ids = self.ids[ragged(self.first[entry], size)]
         upto = np.concatenate([[0], np.cumsum(size)])

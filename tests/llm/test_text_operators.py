@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.llm import common, near_dup, repeats, substring_dedup, suffix_array_dedup
 
@@ -75,20 +76,19 @@ def test_bytes(spark, seed, hot):
 
 
 @pytest.mark.parametrize("hot", [3, 2048])
-def test_said_over_and_over(spark, hot, monkeypatch):
+def test_said_over_and_over(spark, hot):
     """Texts of little but one line or pair of words, which share most of their surroundings with themselves."""
-    monkeypatch.setattr("lexispark.llm.repeats.LISTED", 8)
     docs = [(i, f"{'ab cd ' * (9 + i)}x{i} {'one line\nagain\n' * (i % 3)}{'cd ab ' * (5 * (i % 2))}") for i in range(12)]
     got = substring_dedup.dedup(frame(spark, docs), 6, 2, hot, True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_words(docs, 6)
     got = suffix_array_dedup.dedup(frame(spark, docs), 20, 6, hot, True).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs, 20)
-    around = repeats.surroundings(_marked(spark, docs), repeats.Unit(True, 6, 2)).collect()
+    around = repeats.surroundings(_marked(spark, docs), repeats.Unit(True, 6, 2, (6,))).collect()
     assert len(around) < sum(len(r.places) for r in around) / 2
 
 
 def _marked(spark, docs):
-    unit, rows = repeats.Unit(True, 6, 2), []
+    unit, rows = repeats.Unit(True, 6, 2, (6,)), []
     for i, t in docs:
         data = np.frombuffer(t.encode(), np.uint8)
         values, bounds, _ = unit.values(data, np.array([0, len(data)]))
@@ -97,15 +97,42 @@ def _marked(spark, docs):
     return spark.createDataFrame(rows, "id binary, doc_id long, text string, keys array<long>, hots array<boolean>")
 
 
-def test_unnumbered_rows_with_crowded_anchors(spark):
-    """A null doc_id has none smaller, also where its text is that of many others."""
+@pytest.mark.parametrize("hot", [3, 2048])
+def test_unnumbered_rows(spark, hot):
+    """A null doc_id has none smaller and is never the smaller one, also where its text is that of many others."""
     shared = " ".join(f"s{i}" for i in range(20))
     docs = [(i, f"a{i} {shared} b{i}") for i in range(8)] + [(None, f"{shared} c")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, 6, 2, 3).collect()}
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, 6, 2, hot).collect()}
     assert got == {0: 0, None: 0} | dict.fromkeys(range(1, 8), 20)
 
 
+def test_doc_ids_of_other_kinds(spark):
+    """Beyond what a double holds, and texts."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    for ids, kind in (((1 << 53, (1 << 53) + 1, None), "long"), (("a", "b", None), "string")):
+        df = spark.createDataFrame([(i, f"{n} {shared}") for n, i in enumerate(ids)], f"doc_id {kind}, text string")
+        assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, 6, 2).collect()} == dict(zip(ids, (0, 20, 0)))
+
+
+def thue_morse(n):
+    """Two words of 2**n letters that sums of powers modulo 2**64 can't tell apart, whatever the base."""
+    bits = [i.bit_count() % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_differ(spark):
+    x, y = thue_morse(10)
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    assert len(set(common.span_hash(data, np.array([0, 1024, 0]), np.array([1024, 2048, 1023])).tolist())) == 3
+    values = np.array([7, 9], np.uint64)[data % 2]
+    assert common.fold(values, np.array([0, 1024]), 1024).tolist() != common.fold(values, np.array([0]), 1024).tolist() * 2
+    tail = " ".join(f"t{i}" for i in range(9))
+    df = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.dedup(df, 6, 2).collect()} == {1: 0, 2: 9}
+    assert {r.component_id for r in near_dup.near_duplicates(df.withColumn("text", F.substring("text", 1, 1024)), 1).collect()} == {1, 2}
+
+
 def test_texts_stay_or_shrink(spark):
     shared = " ".join(f"s{i}" for i in range(60))
     docs = [(1, f"one  {shared}\nmore"), (2, f"two {shared} else"), (3, "left \n as it is"), (4, "left \n as it is")]
@@ -207,8 +234,7 @@ def test_minimizers_agree_and_cover():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 4, 400).astype(np.uint8)
     data[200:300] = data[50:150]
-    values = common.byte_codes()[data]
-    keys = common.gram_hash(values, 5)
+    keys = common.byte_gram_hash(data, 5)
     at, first, n = common.minimizers(keys, np.array([0, 180, 400]), 20, 5)
     windows = {int(w): int(a) for a, f, m in zip(at, first, n) for w in range(f, f + m)}
     assert sorted(windows) == [*range(0, 161), *range(180, 381)]
