@@ -24,7 +24,8 @@ columns named like ours are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -32,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, staged, text_slices
 from lexispark.session import ready
@@ -158,47 +160,80 @@ X = ("x0", "x1", "x2", "x3", "x4")
 ROUNDING = ("r0", "r1", "r2", "r3", "r4")
 #: Spread that `mcd` allows for where the table has no rounding.
 LEAST = 1e-3
-#: Distances are counted in bins of a 64th of a doubling.
-BINS = 64
+#: Distances are counted in bins of an eighth of a doubling, between these.
+BINS, LOWEST, HIGHEST = 8, -32, 64
 
 
-def _distance(inverse: str = "inv", at: str = "mu") -> Column:
-    d = [F.col(x) - F.col(at)[i] for i, x in enumerate(X)]
-    return reduce(lambda a, b: a + b, [d[i] * d[j] * F.col(inverse)[i * len(X) + j] for i in range(len(X)) for j in range(len(X))])
+def _columns(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(len(X))]
+
+
+#: Pairs of statistics, each once.
+PAIRS = [(i, j) for i in range(len(X)) for j in range(i, len(X))]
+MU, INV = _columns("m"), [f"v{i}{j}" for i, j in PAIRS]
+SUMS = ["n", *_columns("s"), *[f"q{i}{j}" for i, j in PAIRS]]
+
+
+def _distance() -> Column:
+    """Squared, by the columns of an estimate; flat columns keep this within generated code."""
+    d = [F.col(x) - F.col(m) for x, m in zip(X, MU)]
+    return reduce(lambda a, b: a + b, [(1 if i == j else 2) * d[i] * d[j] * F.col(v) for (i, j), v in zip(PAIRS, INV)])
 
 
 def _bin(d2: Column) -> Column:
-    return F.floor(F.log2(d2 + 1e-6) * BINS).cast("int")
+    """Distances from 2**-4 to 2**8 by eighths of a doubling; what is beyond goes to the last bin on its side."""
+    return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.floor(F.log2(d2 + 1e-9) * BINS))).cast("int")
 
 
-def _estimates(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """From counts, sums and sums of products of each group: mu, the scatter, the inverse of the scatter with variances of
-    rounding at least, and how many dimensions are estimated and not rounding."""
-    p = len(X)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys) + (", " if keys else "") + "floor array<double>, mu array<double>, cov array<double>, inv array<double>, dims double"
+def lower_gamma(a: float, x: float) -> float:
+    """The regularised lower incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    term = total = 1 / a
+    for n in range(1, 400):
+        term *= x / (a + n)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            mus, covs, invs, dims = [], [], [], []
-            for row in batch.to_pylist():
-                n, s = row["n"], np.array(row["s"])
-                mu = s / n
-                cov = np.array(row["q"]).reshape(p, p) / n - np.outer(mu, mu)
-                inv = np.linalg.inv(cov + np.diag(np.maximum(0, np.array(row["floor"]) ** 2 - np.diag(cov))) + np.eye(p) * 1e-9)
-                mus.append(mu.tolist())
-                covs.append(cov.ravel().tolist())
-                invs.append(inv.ravel().tolist())
-                dims.append(float(np.trace(inv @ cov)))
-            arrays = [pa.array(c, pa.list_(pa.float64())) for c in (mus, covs, invs)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], batch.column("floor"), *arrays, pa.array(dims, pa.float64())], [*keys, "floor", "mu", "cov", "inv", "dims"])
 
-    return sums.mapInArrow(solve, schema)
+def chi2_quantile(p: float, dims: float) -> float:
+    lo, hi = 0.0, 4 * dims + 60
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if lower_gamma(dims / 2, mid / 2) < p else (lo, mid)
+    return hi
+
+
+def _solved(row: dict, cov: np.ndarray) -> dict:
+    """The inverse of the scatter with the rounding's variance, its log determinant, and how many dimensions are estimated and
+    not rounding."""
+    whole = cov + np.diag(np.array([row[c] for c in FLOOR]) ** 2)
+    inv = np.linalg.inv(whole)
+    return {v: float(inv[i, j]) for (i, j), v in zip(PAIRS, INV)} | {"det": float(np.linalg.slogdet(whole)[1]), "dims": float(np.trace(inv @ cov))}
+
 
+def _moments(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    p, n = len(X), row["n"]
+    mu, q = np.array([row[f"s{i}"] for i in range(p)]) / n, np.zeros((p, p))
+    for i, j in PAIRS:
+        q[i, j] = q[j, i] = row[f"q{i}{j}"] / n
+    return mu, q - np.outer(mu, mu)
 
-def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    s = F.array(*[F.sum(x) for x in X])
-    q = F.array(*[F.sum(F.col(a) * F.col(b)) for a in X for b in X])
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("floor").alias("floor"), s.alias("s"), q.alias("q"))
+
+FLOOR = _columns("f")
+
+
+def _solve(rows: DataFrame, keys: list[str], one: Callable[[dict], dict], out: dict[str, str]) -> DataFrame:
+    """Each row's keys and what `one` makes of it: a few numbers a group, in NumPy."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | out
+    names = [*keys, *out]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [one(row) for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array([g[c] for g in got], pa.list_(pa.float64()) if out[c].startswith("array") else pa.float64()) for c in out]], names)
+
+    return rows.mapInArrow(solve, ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def _joined(df: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
@@ -208,57 +243,116 @@ def _joined(df: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(est, on, "left").drop(*[f"_{k}" for k in keys])
 
 
-def _middle(p: Column) -> Column:
-    """The median of chi-square with p degrees of freedom, by Wilson and Hilferty."""
-    return p * F.pow(1 - 2 / (9 * p), F.lit(3))
+ESTIMATE = {c: "double" for c in [*FLOOR, *MU, *INV, "det", "dims"]}
 
 
-def mcd(df: DataFrame, keys: list[str], steps: int = 4, share: float = 0.5, name: str = "mcd") -> DataFrame:
-    """keys, n, mu and cov: MCD estimates of each group of `df` over the columns X, where a variance is compared as the
-    group's median rounding at least. The scatter is scaled so that the h-th distance is what a normal vector would have
-    (consistency), in the dimensions that aren't rounding; `cov` itself has no floor."""
+def _starts(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Three deterministic starts of each group: medians with the spreads alone, with the correlations of hyperbolic tangents of
+    standardised values, and with those of spatial signs. An outlier moves none of them far."""
     median = lambda x: F.percentile_approx(x, F.lit(0.5), F.lit(2000))
-    spreads = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)) for x in X]
-    floor = F.array(*[F.greatest(median(r), F.lit(LEAST)) if r in df.columns else F.lit(LEAST) for r in ROUNDING])
-    start = df.groupBy(*keys).agg(F.array(*map(median, X)).alias("mu"), F.array(*[(s[1] - s[0]) / 1.349 for s in spreads]).alias("sd"), floor.alias("floor"))
-    p = len(X)
-    inv = F.array(*[(1 / F.greatest(F.col("sd")[i], F.col("floor")[i]) ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(p)])
-    est = staged(start.select(*keys, "floor", "mu", inv.alias("inv")), name)
+    quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), F.lit(2000)) for x in X]
+    floors = [F.greatest(median(r), F.lit(LEAST)) if r in df.columns else F.lit(LEAST) for r in ROUNDING]
+    robust = df.groupBy(*keys).agg(*[f.alias(c) for f, c in zip(floors, FLOOR)], *[median(x).alias(m) for x, m in zip(X, MU)], *[((q[1] - q[0]) / 1.349).alias(c) for q, c in zip(quartiles, _columns("d"))])
+    robust = staged(robust, name)
+    z = [(F.col(x) - F.col(m)) / F.sqrt(F.col(d) ** 2 + F.col(f) ** 2) for x, m, d, f in zip(X, MU, _columns("d"), FLOOR)]
+    far = _joined(df, robust, keys).select(*keys, *[c.alias(n) for c, n in zip(z, _columns("z"))])
+    norm = F.sqrt(reduce(lambda a, b: a + b, [F.col(c) ** 2 for c in _columns("z")]) + 1e-12)
+    kinds = {1: [F.tanh(c) for c in _columns("z")], 2: [F.col(c) / norm for c in _columns("z")]}
+    sums = [F.sum(v[i] * v[j]).alias(f"t{k}{i}{j}") for k, v in kinds.items() for i, j in PAIRS]
+    both = _joined(far.groupBy(*keys).agg(*sums), robust, keys).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+
+    def one(row: dict) -> dict:
+        sd, c = np.array([row[x] for x in _columns("d")]), np.eye(len(X))
+        if row["start"]:
+            for i, j in PAIRS:
+                c[i, j] = c[j, i] = row[f"t{row['start']}{i}{j}"]
+            scale = np.sqrt(np.maximum(np.diag(c), 1e-12))
+            c = 0.99 * c / np.outer(scale, scale) + 0.01 * np.eye(len(X))
+            np.fill_diagonal(c, 1.0)
+        return {x: row[x] for x in [*FLOOR, *MU]} | _solved(row, c * np.outer(sd, sd))
+
+    return staged(_solve(both, [*keys, "start"], one, ESTIMATE), name)
+
+
+def _by_distance(df: DataFrame, est: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Counts, sums and sums of products by group (and start) and bin of distance, and how many are nearer: one pass over the
+    documents, with partial sums in each task."""
+    far = _joined(df, est.select(*by, *MU, *INV), keys).withColumn("bin", _bin(_distance()))
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)], *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS]]
+    counted = far.groupBy(*by, "bin").agg(*sums)
+    upto = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+
+
+def _of_share(counted: DataFrame, by: list[str], share: float) -> DataFrame:
+    """Sums over the nearest `share` of each group: whole bins, and of the last one the part that is needed."""
+    h = F.floor(F.col("all") * share) + 1
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h - F.col("upto") + F.col("n")) / F.col("n")))
+    return counted.withColumn("part", part).groupBy(*by).agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in SUMS])
+
+
+def _step(df: DataFrame, est: DataFrame, keys: list[str], by: list[str], share: float, name: str) -> DataFrame:
+    """A concentration step: the estimate of those that are nearest by the last one."""
+    near = _joined(_of_share(_by_distance(df, est, keys, by), by, share), est.select(*by, *FLOOR), by)
+
+    def one(row: dict) -> dict:
+        mu, cov = _moments(row)
+        return dict(zip(MU, mu.tolist())) | {c: row[c] for c in FLOOR} | _solved(row, cov)
+
+    return staged(_solve(near, by, one, ESTIMATE), name)
+
+
+def mcd(df: DataFrame, keys: list[str], steps: int = 3, first: int = 2, share: float = 0.5, name: str = "mcd") -> DataFrame:
+    """keys, n, mu and cov: reweighted MCD estimates of each group of `df` over the columns X.
+
+    All starts take `first` concentration steps; the one with the least determinant takes `steps` more. Variances count with the group's
+    median rounding, or statistics that most texts have none of would make every determinant 0. The raw scatter is scaled so that the
+    median distance is a normal vector's, of as many dimensions as aren't rounding; documents within the 0.975 quantile then give
+    the reweighted location and scatter, scaled for the cut. `cov` itself holds no rounding."""
+    est = _starts(df, keys, name)
+    by = [*keys, "start"]
+    for _ in range(first):
+        est = _step(df, est, keys, by, share, name)
+    best = F.row_number().over(Window.partitionBy(*keys).orderBy("det", "start"))
+    est = est.withColumn("best", best).where("best = 1").drop("best", "start")
     for _ in range(steps):
-        far = _joined(df, est.select(*keys, "floor", "mu", "inv"), keys).withColumn("bin", _bin(_distance()))
-        cut = _cuts(far, keys, share)
-        near = _joined(far.drop("mu", "inv"), cut, keys).where(F.col("bin") <= F.col("cut"))
-        est = staged(_estimates(_moments(near, keys), keys), name)
-    far = _joined(df, est.select(*keys, "mu", "inv"), keys).withColumn("bin", _bin(_distance()))
-    cut = _cuts(far, keys, share)
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    out = _joined(_joined(est, cut, keys), sized, keys)
-    scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("cut") + 1) / BINS) / _middle(F.greatest(F.col("dims"), F.lit(0.5))))
-    return staged(out.select(*keys, "n", "mu", F.array(*[F.col("cov")[i] * scale for i in range(p * p)]).alias("cov")), name)
+        est = _step(df, est, keys, keys, share, name)
+    counted = staged(_by_distance(df, est, keys, keys), name)
+    middle = counted.where(F.col("upto") >= F.floor(F.col("all") * share) + 1).groupBy(*keys).agg(F.min(F.struct("bin", ((F.floor(F.col("all") * share) + 1 - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))).alias("c"))
+    cut = _joined(est.select(*keys, "dims"), middle.select(*keys, F.pow(F.lit(2.0), (F.col("c.bin") + F.col("c.part")) / BINS).alias("median")), keys)
+
+    def bounds(row: dict) -> dict:
+        dims = max(0.5, row["dims"])
+        scale = max(1.0, row["median"] / chi2_quantile(share, dims))
+        edge = chi2_quantile(WITHIN, dims)
+        return {"last": math.log2(edge * scale) * BINS, "scale": WITHIN / max(1e-9, lower_gamma(dims / 2 + 1, edge / 2))}
 
+    cut = staged(_solve(cut, keys, bounds, {"last": "double", "scale": "double"}), name)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("last") - F.col("bin")))
+    # one bin at least: the nearest
+    part = F.when(F.col("upto") == F.col("n"), 1.0).otherwise(part)
+    near = _joined(counted, cut, keys).withColumn("part", part).groupBy(*keys).agg(F.first("all").alias("all"), F.first("scale").alias("scale"), *[F.sum(F.col(c) * F.col("part")).alias(c) for c in SUMS])
 
-def _cuts(far: DataFrame, keys: list[str], share: float) -> DataFrame:
-    """The bin of each group's h-th nearest, from counts by bin: a few thousand rows a group at most."""
-    from pyspark.sql.window import Window
+    def last(row: dict) -> dict:
+        mu, cov = _moments(row)
+        return {"n": float(row["all"]), "mu": mu.tolist(), "cov": (cov * row["scale"]).ravel().tolist()}
 
-    counts = far.groupBy(*keys, "bin").count()
-    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    ranked = counts.withColumn("upto", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(whole))
-    return ranked.where(F.col("upto") >= F.floor(F.col("all") * share) + 1).groupBy(*keys).agg(F.min("bin").alias("cut"))
+    return staged(_solve(near, keys, last, {"n": "double", "mu": "array<double>", "cov": "array<double>"}), name)
 
 
+#: The quantile within which documents count for the reweighted estimate.
+WITHIN = 0.975
 #: The 0.9999 quantile of chi-square with 5 degrees of freedom.
 CUTOFF = 25.74
 
 
 def _verdict(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Array:
-    """(distance, poor) of each document from its estimate, whose spreads are the document's rounding at least. Poor is
+    """(distance, poor) of each document from its estimate, with the variance of the document's own rounding. Poor is
     what marks poor text, by two spreads: symbols, repeated lines or words, non-letters, odd word length."""
     p, known = len(X), mu.is_valid()
     x, least, mu, cov = (c.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in ((x, p), (least, p), (mu, p), (cov, p * p)))
     off, var, i = x - mu, cov.reshape(-1, p, p).copy(), np.arange(p)
-    var[:, i, i] = np.maximum(var[:, i, i], least**2)
+    var[:, i, i] += least**2
     distance = np.einsum("ij,ij->i", off, np.linalg.solve(var, off[..., None])[..., 0])
     above = off > 2 * np.sqrt(var[:, i, i])
     poor = above[:, :4].any(axis=1) | (np.abs(off[:, 4]) > 2 * np.sqrt(var[:, 4, 4]))
@@ -280,7 +374,7 @@ def _blended(part: DataFrame, whole: DataFrame, keys: list[str], prior: int) ->
     return both.select(*part.columns[:-2], mu.alias("mu"), cov.alias("cov"))
 
 
-def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: int = 4, keep_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: int = 3, keep_text: bool = False) -> DataFrame:
     """`docs`, its statistics, base_failed, distance (squared, robust) and kept. Text stays only if asked for, and then
     its statistics are counted again, so that it need not be staged."""
     stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding()), "stats")
