@@ -1,9 +1,10 @@
 """8. Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Each document becomes its token ids and a closing id, cut into pieces of `length` ids and a rest. Pieces are dealt to
-groups by a seeded hash; a group takes its pieces by falling size, and a tournament tree over the bins' free space finds
-the first bin with room in logarithmic time. Groups have a bounded number of pieces whatever the keys are, so no source
-or group of copies makes a large task, and groups of thousands leave little padding.
+Each document becomes its token ids and a closing id, cut into pieces of `length` ids and a rest. A full piece is a sequence. Documents
+are dealt to groups by a seeded hash of their row; a group takes its documents' rests by falling size, and a
+tournament tree over the bins' free space finds the first bin with room in logarithmic time. A document brings its group
+one rest at most, so groups are bounded whatever the texts and keys are: no source, long document or group of copies makes a large
+task, and groups of thousands leave little padding.
 
 Defined results: a null or empty text is its closing id alone; repeated rows are packed each for itself; a null doc_id
 stays null; an empty table gives an empty table; other columns are ignored.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,18 +26,20 @@ from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
 
 LENGTH = 2048
-#: Pieces a group on average; with their ids, so many that a group's ids take about 16 MB.
-GROUP_PIECES, GROUP_WITH_IDS = 16384, 2048
+#: Documents a group on average; with their ids, so many that a group's rests take 16 MB at most.
+GROUP_DOCS, GROUP_WITH_IDS = 16384, 2048
+#: Full pieces number their sequences from here on, by task and place; groups number theirs below.
+FULL = 1 << 62
 
 
 def pieces(docs: DataFrame, tokenizer: str, eod: int, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, nth (a running number within the task) and, if asked for, ids
+    """doc_id, start, length, ids_crc32, doc_tokens, nth (a number of the piece, by task and place) and, if asked for, ids
     (little-endian unsigned 32-bit) of each piece."""
 
     ready(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, nth = bpe(tokenizer), 0
+        model, nth = bpe(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column("doc_id")
             for a, b, data, offsets in text_slices(batch.column("text")):
@@ -87,22 +91,25 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, eod: int = 1, length: int = LENGTH, group_pieces: int | None = None, seed: int = 11, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, eod: int = 1, length: int = LENGTH, group_docs: int | None = None, seed: int = 11, keep_ids: bool = False) -> DataFrame:
     """The pieces with sequence_id and offset. With keep_ids the pieces' ids come along: sorted by sequence_id and
     offset they are the sequences."""
-    group_pieces = group_pieces or (GROUP_WITH_IDS if keep_ids else GROUP_PIECES)
-    # tokenized once; the number of groups needs the number of pieces
+    group_docs = group_docs or (GROUP_WITH_IDS if keep_ids else GROUP_DOCS)
+    # tokenized once, and numbered once
     cut = staged(pieces(docs, tokenizer or default_path(), eod, length, keep_ids), "pieces")
-    n_groups = max(1, -(-cut.count() // group_pieces))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "nth") + ", sequence_id long, offset long"
+    rests = cut.where(F.col("length") < length)
+    n_groups = max(1, -(-rests.count() // group_docs))
     names = [f.name for f in cut.schema if f.name != "nth"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "nth") + ", sequence_id long, offset long"
 
     def place(group: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by("nth")
         bins, offsets = first_fit_decreasing(table.column("length").to_numpy(), length)
         return table.select(names).append_column("sequence_id", pa.array((group[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
-    return cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "nth", F.lit(seed)), F.lit(n_groups))).groupBy("group").applyInArrow(place, schema)
+    placed = rests.withColumn("group", F.pmod(F.xxhash64("nth", F.lit(seed)), F.lit(n_groups))).groupBy("group").applyInArrow(place, schema)
+    full = cut.where(F.col("length") == length).select(*names, (F.lit(FULL) + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
