@@ -6,7 +6,8 @@ shuffles each bucket with Fisher-Yates under a seed of its own. A record's slot
 sizes of the shard's earlier buckets, so slots of a shard run from 0 without gaps.
 
 Equal texts with different doc_ids are scattered like any others, so no group of copies is a hot bucket. Rows that repeat
-one doc_id all belong to one shard (the key decides); within it the row's own hash spreads them over buckets.
+one doc_id all belong to one shard (the key decides); within it different texts are spread over buckets by their hash, and a bucket
+that identical rows make more than `OVERFULL` times too large is split by the rows' numbers.
 
 Defined results: a null text has size 1 and the CRC of no bytes; a null doc_id hashes like any value; an empty table gives
 an empty table; other columns travel with the record; columns named like ours (shard, bucket, slot, grown_shard, size)
@@ -19,14 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lexispark.llm.common import staged
 from lexispark.session import ready
 
 OURS = ("size", "shard", "grown_shard", "bucket", "slot")
+#: A bucket of more than so many times `bucket_bytes` is split.
+OVERFULL = 4
+#: Bytes that a task of pass two reads, bucket by bucket.
+TASK_BYTES = 64 << 20
 
 
 def rendezvous(key: Column, n: int, seed: int) -> Column:
@@ -63,32 +70,40 @@ def assign(docs: DataFrame, n_shards: int = 16, bucket_bytes: int = 16 << 20, se
     )
 
 
+def _split(dealt: DataFrame, bucket_bytes: int, seed: int) -> DataFrame:
+    """`dealt` with overfull buckets split: their parts follow one after another, and other buckets keep their place in the order."""
+    loads = dealt.groupBy("shard", "bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > OVERFULL * bucket_bytes)
+    if loads.isEmpty():
+        return dealt.withColumn("part", F.lit(0).cast("long"))
+    parts = loads.select("shard", "bucket", F.ceil(F.col("bytes") / bucket_bytes).alias("parts"))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed + 2)), F.col("parts"))
+    # written once: numbers of rows may differ the next time
+    return staged(dealt.join(parts, ["shard", "bucket"], "left").withColumn("part", F.coalesce(part, F.lit(0).cast("long"))).select(*dealt.columns, "part"), "split")
+
+
 def shuffled(docs: DataFrame, n_shards: int = 16, bucket_bytes: int = 16 << 20, seed: int = 7) -> DataFrame:
     """Every record of `docs` with all its columns, and size, shard, grown_shard, bucket and slot."""
     dealt = assign(docs, n_shards, bucket_bytes, seed)
-    counts = dealt.groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_slot"))
+    names = dealt.columns
+    clash = [c for c in ("part",) if c in names]
+    dealt = _split(dealt.withColumnsRenamed({c: f"_{c}_" for c in clash}), bucket_bytes, seed)
+    counts = dealt.groupBy("shard", "bucket", "part").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("bytes"))
+    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bucket", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_slot"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(counts.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     schema = T.StructType([*dealt.schema.fields, T.StructField("slot", T.LongType())])
 
     ready(docs.sparkSession)
 
     def order(group: tuple, table: pa.Table, start: pa.Table) -> pa.Table:
-        shard, bucket = (int(x.as_py()) for x in group)
         # a fixed order first, whatever order the rows arrived in
-        ids = table.column("doc_id").to_pandas().fillna(-(1 << 63)).to_numpy()
-        ties = _crc32(table.column("text")) if len(np.unique(ids)) < len(ids) else ids
-        table = table.take(pa.array(np.lexsort((ties, ids))))
-        place = fisher_yates(len(table), np.random.default_rng([seed, shard, bucket])) + start.column("first_slot")[0].as_py()
+        table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+        place = fisher_yates(len(table), np.random.default_rng([seed, *(int(x.as_py()) for x in group)])) + start.column("first_slot")[0].as_py()
         return table.append_column("slot", pa.array(place, pa.int64())).select([f.name for f in schema])
 
-    return dealt.groupBy("shard", "bucket").cogroup(starts.groupBy("shard", "bucket")).applyInArrow(order, schema)
-
-
-def _crc32(texts: pa.ChunkedArray) -> np.ndarray:
-    import zlib
-
-    return np.fromiter((zlib.crc32((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in texts), np.int64, len(texts))
+    keys = ["shard", "bucket", "part"]
+    out = dealt.repartition(tasks, *keys).groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(order, schema)
+    return out.drop("part").withColumnsRenamed({f"_{c}_": c for c in clash}).select(*names, "slot")
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
