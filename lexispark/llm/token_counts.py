@@ -33,6 +33,8 @@ BLOCK = 1 << 19
 #: The vocabulary's own end-of-text id; texts are encoded as ordinary text, so no text holds it.
 SEPARATOR = 50256
 KIND = "<u2"
+#: Blocks of a run, the unit of the prefix scan.
+RUN = 1024
 
 
 def write_files(docs: DataFrame, tokenizer: str | None = None, separator: int = SEPARATOR, block: int = BLOCK, kind: str = KIND) -> tuple[DataFrame, DataFrame]:
@@ -69,6 +71,8 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, separator: int =
             n = batch.num_rows
             for _, _, data, offsets in text_slices(batch.column("text")):
                 ids, counts = model.encode_slice(data, offsets)
+                if max(separator, int(ids.max(initial=0))) > np.iinfo(kind).max:
+                    raise ValueError(f"ids of this tokenizer don't fit {kind}")
                 held.append(np.insert(ids, np.cumsum(counts), np.uint32(separator)).astype(kind))
                 n_held += len(held[-1])
                 yield from blocks(False)
@@ -107,19 +111,33 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, kind: str = KIND
                 ["file_id", "block_no", "n", "n_seps", "first", "last", "inner"],
             )
 
-    found = blocks.mapInArrow(scan, f"file_id {key}, block_no long, n long, n_seps long, first long, last long, inner array<long>")
-    before = Window.partitionBy("file_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ids_before"), F.coalesce(F.sum("n_seps").over(before), F.lit(0)).alias("docs_before"))
-    # ids up to and with the last separator before the block
-    carried = placed.withColumn("done", F.coalesce(F.max(F.col("ids_before") + F.col("last") + 1).over(before), F.lit(0)))
+    found = staged(blocks.mapInArrow(scan, f"file_id {key}, block_no long, n long, n_seps long, first long, last long, inner array<long>"), "separators")
+    carried = _scanned(found.drop("inner"))
     sizes = F.concat(F.array(F.col("ids_before") + F.col("first") - F.col("done")), "inner")
-    closed = carried.where("n_seps > 0").select("file_id", "docs_before", F.posexplode(sizes).alias("i", "n_tokens"))
+    closed = carried.where("n_seps > 0").join(found.select("file_id", "block_no", "inner"), ["file_id", "block_no"]).select("file_id", "docs_before", F.posexplode(sizes).alias("i", "n_tokens"))
     tails = carried.groupBy("file_id").agg(F.max(F.greatest("done", F.coalesce(F.col("ids_before") + F.col("last") + 1, F.lit(0)))).alias("done"), F.max(F.col("ids_before") + F.col("n")).alias("n"), F.max(F.col("docs_before") + F.col("n_seps")).alias("nth"))
     return closed.select("file_id", (F.col("docs_before") + F.col("i")).alias("nth"), "n_tokens", F.lit(True).alias("closed")).unionByName(
         tails.where("n > done").select("file_id", "nth", (F.col("n") - F.col("done")).alias("n_tokens"), F.lit(False).alias("closed"))
     )
 
 
+def _scanned(short: DataFrame) -> DataFrame:
+    """The blocks' short rows with ids_before, docs_before and done (ids up to and with the last separator before): a prefix
+    scan in runs of blocks, then over the runs, so no task sorts all blocks of a file."""
+    zero = F.lit(0).cast("long")
+    runs = short.withColumn("run", F.floor(F.col("block_no") / RUN))
+    within = Window.partitionBy("file_id", "run").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    inside = runs.withColumn("ids_in", F.coalesce(F.sum("n").over(within), zero)).withColumn("docs_in", F.coalesce(F.sum("n_seps").over(within), zero))
+    inside = inside.withColumn("done_in", F.max(F.col("ids_in") + F.col("last") + 1).over(within))
+    totals = inside.groupBy("file_id", "run").agg(F.sum("n").alias("n"), F.sum("n_seps").alias("seps"), F.max(F.col("ids_in") + F.col("last") + 1).alias("done"))
+    before = Window.partitionBy("file_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("file_id", "run", F.coalesce(F.sum("n").over(before), zero).alias("ids_base"), F.coalesce(F.sum("seps").over(before), zero).alias("docs_base"), F.col("done").alias("own"))
+    base = base.withColumn("done_base", F.coalesce(F.max(F.col("ids_base") + F.col("own")).over(before), zero)).drop("own")
+    out = inside.join(base, ["file_id", "run"])
+    done = F.coalesce(F.col("ids_base") + F.col("done_in"), F.col("done_base"))
+    return out.select("file_id", "block_no", "n", "n_seps", "first", "last", (F.col("ids_base") + F.col("ids_in")).alias("ids_before"), (F.col("docs_base") + F.col("docs_in")).alias("docs_before"), done.alias("done"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: ids of every whole document, counted from the flat files."""
     blocks, manifest = write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
