@@ -8,8 +8,9 @@ largest chance that a pair at the threshold shares no band. Every link is confir
 Groups of copies never make all their pairs. Equal sets are one class, made by an aggregation. Within a band's bucket
 all classes are first compared with its least one. In buckets that still hold several components, all are compared with
 the class of the most usual shingles, the bucket's pivot (the original, in a group of edited copies). What classes differ
-in from their pivot then tells, exactly, which other pairs of different components can be linked at all (`_candidates`);
-those are compared one by one, so no link that could join two components is left out.
+in from their pivot then tells, exactly, which other pairs of different components can be linked at all (`_leading`). Of those
+with a difference in common, all are first compared with the least, so that a second family in a bucket becomes one component;
+what is still in different components is compared one by one, so no link that could join two components is left out.
 
 Defined results: null, empty and wordless texts have no shingles and are linked with nothing; with fewer than k words the
 whole sequence is the one shingle; repeated rows of a doc_id are one node and each get a row; a null doc_id is linked
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -152,18 +153,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every end of an edge: the least node that it reaches. Labels move along edges and then
     jump to their label's label, so a chain halves with each round."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), name)
+    last = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), name)
     while True:
+        labels = last.select("node", "component")
         # least label of the neighbours
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(seen, "node", "left").select("node", F.least("component", "near").alias("to"), F.col("component").alias("old"))
-        moved = staged(moved, name)
+        moved = staged(labels.join(seen, "node", "left").select("node", F.least("component", "near").alias("to"), F.col("component").alias("old")), name)
         jump = moved.select(F.col("node").alias("to"), F.col("to").alias("far"))
         new = staged(moved.join(jump, "to", "left").select("node", F.least("to", "far").alias("component"), "old"), name)
-        changed = new.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        release(last, moved)
+        if new.where(F.col("component") != F.col("old")).isEmpty():
+            release(both)
+            return new.select("node", "component")
+        last = new
+
+
+def _stars(at: DataFrame) -> DataFrame:
+    """Edges that make the components found so far."""
+    return at.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
 
 
 def _mixed(edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,18 +199,18 @@ def _usual(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(rows.join(times, "shingle").groupBy("rep").agg(F.avg("times").alias("usual")), "usual")
 
 
-def _candidates(against: DataFrame, still: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of classes in different components that share a bucket and may be linked, by their differences
-    from the bucket's pivot.
+def _leading(against: DataFrame, still: DataFrame, num: int, den: int) -> DataFrame:
+    """pivot, shingle, rep, n, d and place: the first shingles of each class's differences from the bucket's pivot, which tell
+    exactly which classes can be linked.
 
     The symmetric difference of two classes is that of their differences D from a common pivot, and two linked classes
     differ by at most t = (den-num)/(den+num) of the sum of their sizes. If |D| + |D'| <= t both are linked with the
     pivot and so in one component. Otherwise they share at least (|D| + |D'| - t) / 2 of D and D', so with each D in order
     of rarity, the first shared shingle is among the first t + 1 of both, and leaves enough behind it in both. Edited
     copies of one original differ from it by rare shingles, so few pairs pass."""
-    at = still.select("pivot", "rep", "component").distinct()
+    at = still.select("pivot", "rep").distinct()
     d = against.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.col("nb").alias("n"), "diff").join(at, ["pivot", "rep"])
-    rows = d.select("pivot", "rep", "component", "n", F.size("diff").alias("d"), F.explode("diff").alias("shingle"))
+    rows = d.select("pivot", "rep", "n", F.size("diff").alias("d"), F.explode("diff").alias("shingle"))
     times = rows.groupBy("pivot", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     # shingles that are there once come first in the order; they are in no other difference, only their number counts
     shared = rows.join(times, ["pivot", "shingle"])
@@ -211,12 +218,31 @@ def _candidates(against: DataFrame, still: DataFrame, num: int, den: int) -> Dat
     ranked = ranked.withColumn("place", F.col("place") + F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("pivot", "rep")))
     # the other's size is at most den / num of this one's
     first = ranked.where((den + num) * num * (F.col("place") - 1) <= (den - num) * (num + den) * F.col("n"))
-    first = staged(first.select("pivot", "shingle", "rep", "component", "n", "d", "place"), "first")
-    other = first.select("pivot", "shingle", *[F.col(c).alias(f"{c}2") for c in ("rep", "component", "n", "d", "place")])
-    pairs = first.join(other, ["pivot", "shingle"]).where(F.col("rep") < F.col("rep2")).where(F.col("component") != F.col("component2"))
+    return staged(first.select("pivot", "shingle", "rep", "n", "d", "place"), "first")
+
+
+def _enough(num: int, den: int) -> Column:
     left = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2")) + 1
-    enough = (den + num) * (F.col("d") + F.col("d2") - 2 * left) <= (den - num) * (F.col("n") + F.col("n2"))
-    return pairs.where(enough).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
+    return (den + num) * (F.col("d") + F.col("d2") - 2 * left) <= (den - num) * (F.col("n") + F.col("n2"))
+
+
+def _candidates(first: DataFrame, at: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
+    """(a, b): classes in different components that may be linked, by their `_leading` shingles. With `leaders`, only pairs with the
+    least class of each shingle: a family that shares its differences from the pivot becomes one component so, and isn't
+    compared pair by pair."""
+    known = first.join(at.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    cols = ("rep", "component", "n", "d", "place")
+    if leaders:
+        best = known.groupBy("pivot", "shingle").agg(F.min(F.struct(*cols)).alias("x"))
+        other = best.select("pivot", "shingle", *[F.col(f"x.{c}").alias(f"{c}2") for c in cols])
+        pairs = known.join(other, ["pivot", "shingle"]).where("rep2 < rep")
+    else:
+        # only shingles of several components
+        several = known.groupBy("pivot", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("pivot", "shingle")
+        known = known.join(several, ["pivot", "shingle"])
+        other = known.select("pivot", "shingle", *[F.col(c).alias(f"{c}2") for c in cols])
+        pairs = known.join(other, ["pivot", "shingle"]).where("rep2 < rep")
+    return pairs.where("component <> component2").where(_enough(num, den)).select(F.col("rep2").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: int = 6, miss: float = 1e-6) -> DataFrame:
@@ -247,16 +273,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     mixed = staged(mixed.join(pivots.select("bucket", F.col("x.rep").alias("pivot")), "bucket"), "mixed")
     again = mixed.where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     against = staged(compared(again, sets, True), "second")
-    edges = edges.unionByName(staged(_links(against, num, den), "edges"))
-    at, still = _mixed(edges, mixed.drop("component"))
-
-    # what is left
-    rest = _candidates(against, still, num, den)
-    done = first.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = staged(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    found = staged(_links(compared(rest, sets), num, den), "edges")
-    if not found.isEmpty():
-        at = components(edges.unionByName(found))
+    at, still = _mixed(_stars(at).unionByName(_links(against, num, den)), mixed.drop("component"))
+
+    # what is left: first with the least class of each shingle, then pair by pair what is still apart
+    done = first.unionByName(again).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    leading = _leading(against, still, num, den)
+    for leaders in (True, False):
+        rest = staged(_candidates(leading, at, num, den, leaders).join(done, ["a", "b"], "left_anti"), "rest")
+        found = staged(_links(compared(rest, sets), num, den), "edges")
+        if not found.isEmpty():
+            at = components(_stars(at).unionByName(found))
+        done = done.unionByName(rest)
+    release(sets, members, leading)
 
     of_class = classes.select(*name, "rep").join(at.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
     out = signed_.select("doc_id", *name).join(of_class, name, "left")
