@@ -100,7 +100,7 @@ def test_packing(spark, library, keep_ids):
     rng = random.Random(4)
     rows = list(enumerate(ODD)) + [(50 + i, "ab " * rng.randint(0, 400)) for i in range(40)] + [(50, "twice"), (None, "null id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = packing.pack(docs, length=256, group_pieces=64, keep_ids=keep_ids).collect()
+    got = packing.pack(docs.withColumn("length", F.lit(1)).withColumn("nth", F.lit(1)), length=256, group_docs=20, keep_ids=keep_ids).collect()
     want = collections.Counter()
     for i, t in rows:
         ids = [*library(t), 1]
@@ -136,10 +136,13 @@ def test_first_fit():
 
 
 def test_packing_groups_of_long_documents(spark):
-    docs = spark.createDataFrame([(i, f"word{i} " * 300) for i in range(200)], "doc_id long, text string")
-    rows = packing.pack(docs, length=16, group_pieces=256, keep_ids=True).collect()
-    groups = collections.Counter(r.sequence_id >> 32 for r in rows)
-    assert len(rows) > 10 * 200 and max(groups.values()) <= 1.5 * 256
+    """Full pieces are sequences; a group holds one rest a document at most, however long documents are."""
+    docs = spark.createDataFrame([(i, f"word{i} " * (300 + i)) for i in range(200)] + [(7, "x")] * 300, "doc_id long, text string")
+    rows = packing.pack(docs, length=16, group_docs=50, keep_ids=True).collect()
+    full = [r for r in rows if r.length == 16]
+    assert len(full) > 10 * 200 and len({r.sequence_id for r in full}) == len(full) and all(r.offset == 0 for r in full)
+    groups = collections.Counter(r.sequence_id >> 32 for r in rows if r.length < 16)
+    assert len(groups) == -(-sum(groups.values()) // 50) and max(groups.values()) <= 2 * 50
 
 
 # ---- 6 -------------------------------------------------------------------------------------------------------------
@@ -201,52 +204,147 @@ def test_rules_small_source_has_its_estimate(spark):
     assert sum(k for i, k in kept.items() if i >= 1000) >= 147 and sum(k for i, k in kept.items() if i < 1000) >= 590
 
 
-def test_mcd_ignores_outliers(spark):
-    rng = np.random.default_rng(1)
-    good = rng.normal(0, 1, (700, 5)) * [2, 1, 1, 0.5, 0.3] + [3, 0, 1, 2, 5]
-    bad = rng.normal(40, 1, (250, 5))
-    rows = [("g", *map(float, r)) for r in np.vstack([good, bad])]
-    est = quality_rules.mcd(spark.createDataFrame(rows, "k string, x0 double, x1 double, x2 double, x3 double, x4 double"), ["k"]).first()
-    assert np.allclose(est["mu"], [3, 0, 1, 2, 5], atol=0.5) and est["n"] == 950
+X_SCHEMA = "k string, x0 double, x1 double, x2 double, x3 double, x4 double"
+
+
+def brute_mcd(x, tries=60):
+    """The least log determinant over many random starts of concentration steps, in memory."""
+    rng, h, best = np.random.default_rng(0), len(x) // 2 + 1, None
+    for _ in range(tries):
+        at = rng.choice(len(x), 6, replace=False)
+        for _ in range(30):
+            mu, cov = x[at].mean(0), np.cov(x[at].T, bias=True) + 1e-9 * np.eye(5)
+            new = np.argsort(np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu))[:h]
+            if set(new) == set(at):
+                break
+            at = new
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    return best
+
+
+def test_mcd_against_brute_force(spark):
+    """Correlated groups, with few, many and far outliers: the raw estimate's determinant is as small as any start finds, and the
+    reweighted one is the scatter of the good rows."""
+    rng, rows, groups = np.random.default_rng(1), [], {}
+    mix = rng.normal(0, 1, (5, 5)) + 2 * np.eye(5)
+    for name, n, bad, where in (("few", 900, 50, 40), ("many", 700, 300, 12), ("near", 800, 150, 6)):
+        good = rng.normal(0, 1, (n, 5)) @ mix + [3, 0, 1, 2, 5]
+        groups[name] = (good, np.vstack([good, rng.normal(where, 1, (bad, 5)) @ mix]))
+        rows += [(name, *map(float, r)) for r in groups[name][1]]
+    df = spark.createDataFrame(rows, X_SCHEMA)
+    est = quality_rules._starts(df, ["k"], "t")
+    for _ in range(6):
+        est = quality_rules._step(df, est, ["k"], ["k", "start"], 0.5, "t")
+    dets = collections.defaultdict(list)
+    for r in est.collect():
+        dets[r.k].append(r.det)
+    final = {r.k: r for r in quality_rules.mcd(df, ["k"]).collect()}
+    for name, (good, x) in groups.items():
+        assert len(dets[name]) == 3 and min(dets[name]) <= brute_mcd(x)[0] + 0.1
+        mu, cov = np.array(final[name]["mu"]), np.array(final[name]["cov"]).reshape(5, 5)
+        assert final[name]["n"] == len(x)
+        away = np.einsum("ij,jk,ik->i", good - mu, np.linalg.inv(cov), good - mu)
+        # distances of the good rows are chi-square's
+        assert abs(np.median(away) / quality_rules.chi2_quantile(0.5, 5) - 1) < 0.15
+        assert np.mean(away > quality_rules.chi2_quantile(0.9999, 5)) < 0.005
+
+
+def test_chi_square():
+    for dims, p, q in ((5, 0.9999, 25.745), (5, 0.975, 12.833), (2, 0.5, 1.386), (1, 0.975, 5.024)):
+        assert abs(quality_rules.chi2_quantile(p, dims) - q) < 2e-3
+
+
+def test_verdict_against_brute_force(spark):
+    """Distance, cutoff and verdict of each document, computed again from its group's estimate."""
+    rng = random.Random(14)
+    rows = [(i, plain_text(rng, 200) + (" #$% 12345" * 30 if i % 9 == 0 else ""), "en", "s") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.statistics(docs).withColumn("base_failed", quality_rules.base_failed()).withColumns(quality_rules.vectors() | quality_rules.rounding())
+    x = {r.doc_id: r for r in stats.collect()}
+    fit = stats.where("not base_failed").withColumn("g", F.lit(1))
+    est = quality_rules.mcd(fit, ["g"]).first()
+    mu, cov = np.array(est["mu"]), np.array(est["cov"]).reshape(5, 5)
+    # one language and one source: leaning on an equal estimate changes nothing
+    for r in quality_rules.judge(docs).collect():
+        v, least = (np.array([x[r.doc_id][c] for c in names]) for names in (quality_rules.X, quality_rules.ROUNDING))
+        var = cov + np.diag(least**2)
+        off = v - mu
+        assert abs(off @ np.linalg.solve(var, off) - r.distance) < 1e-6 * max(1, r.distance)
+        sd = np.sqrt(np.diag(var))
+        poor = (off[:4] > 2 * sd[:4]).any() or abs(off[4]) > 2 * sd[4]
+        assert r.kept == (not r.base_failed and not (r.distance > quality_rules.CUTOFF and poor))
 
 
 # ---- 7 -------------------------------------------------------------------------------------------------------------
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        p = rng.randrange(len(w))
+        w[p : p + rng.randint(0, 1)] = [f"zq{rng.randrange(99)}"] * rng.randint(0, 1)
+    return w
+
+
+def values_of(texts):
+    """Words of each text, as the operator sees them."""
+    out = []
+    for _, _, data, offsets in text_slices(pa.array(texts)):
+        v, bounds = decontamination.word_values(data, offsets)
+        out += [v[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    return out
+
+
 def test_decontamination(spark):
-    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    """Against the exact edit distance of every item and document, with passages up to all the edits allowed."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    items += [(-3, items[0][1].upper()), (-4, "zzshort item"), (-5, "zzword")]
     rng = random.Random(3)
-    clean = [r.text for r in documents(spark).collect() if not any(t in r.text for _, t in items)]
-    rows, want = [], {}
-    for n in range(300):
-        i, text = rng.choice(items)
-        w = text.split()
-        edits = rng.randint(0, int(0.15 * len(w)))
-        for _ in range(edits):
-            p = rng.randrange(len(w))
-            w[p : p + rng.randint(0, 1)] = [f"zq{rng.randrange(99)}"] * rng.randint(0, 1)
-        base = rng.choice(clean).split()
+    clean = [r.text for r in documents(spark).collect() if r.text and not any(t in r.text for _, t in items)]
+    rows = []
+    for n in range(400):
+        w = rng.choice(items)[1].split()
+        base = rng.choice(clean).split()[:150]
         p = rng.randint(0, len(base))
-        rows.append((n, " ".join(base[:p] + w + base[p:])))
-        want[n] = i
-    rows += [(1000, None), (1001, ""), (1002, "x" * 100_000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([*items, (-1, None), (-2, "too short")], "item_id long, text string")
+        rows.append((n, " ".join(base[:p] + edited(rng, w, len(w) // 5 if n % 2 else rng.randint(0, len(w) // 5)) + base[p:])))
+    rows += [(1000, None), (1001, ""), (1002, "x" * 100_000), (1003, "a zzshort, ITEM"), (1004, "zzshort"), (1005, "zzword"), (1003, "a zzshort, ITEM"), (None, "zzword!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([*items, (-1, None), (-2, " !? ")], "item_id long, text string")
     got = decontamination.contaminated(docs, bench).collect()
-    found = {(r.doc_id, r.item_id) for r in got}
-    # brute force: exact edit distance of every item and document
-    values = {}
-    for a, _, data, offsets in text_slices(pa.array([t for _, t in rows[:60]])):
-        v, bounds = decontamination.word_values(data, offsets)
-        values |= {rows[a + j][0]: v[bounds[j] : bounds[j + 1]] for j in range(len(bounds) - 1)}
-    it = decontamination.Items([i for i, _ in items], [t for _, t in items], 0.2, 5)
-    for d, v in values.items():
-        for j, w in enumerate(it.words):
-            assert (decontamination.closest(w, v)[0] <= it.most[j]) == ((d, it.ids[j]) in found) or (d, it.ids[j]) not in found
-    assert sum((n, i) in found for n, i in want.items()) >= decontamination.RECALL * len(want) and not [r for r in got if r.doc_id >= 1000]
-    blocks = decontamination.contaminated(docs, bench, block=7).collect()
-    assert sorted(blocks) == sorted(got)
-    left = decontamination.decontaminated(docs.withColumn("item_id", F.lit("clash")), bench, block=7)
-    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {d for d, _ in found} and "item_id" in left.columns
-    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+    of_items = values_of([t for _, t in items])
+    most = decontamination.edits(np.array([len(w) for w in of_items]), decontamination.SHARE)
+    want = {}
+    for d, (n, v) in enumerate(zip([i for i, _ in rows], values_of([t for _, t in rows]))):
+        for (i, _), w, k in zip(items, of_items, most):
+            # fewer words in common than the edits leave rule a match out
+            if np.isin(w, v).sum() >= len(w) - k and (c := decontamination.closest(w, v)[0]) <= k:
+                want.setdefault((n, i), []).append(c)
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.doc_id, r.item_id].append(r.distance)
+    assert all(k in want and len(want[k]) == len(d) and min(d) >= min(want[k]) for k, d in found.items())
+    assert len(found) >= decontamination.RECALL * len(want) and len(want) > 380
+    assert found[1003, -4] == [0, 0] and found[1005, -5] == found[None, -5] == [0] and (1004, -4) not in found
+    assert sorted(map(str, decontamination.contaminated(docs, bench, block=70).collect())) == sorted(map(str, got))
+    left = decontamination.decontaminated(docs.withColumn("item_id", F.lit("clash")).withColumn("_text", F.lit(1)), bench, block=70)
+    assert collections.Counter(r.doc_id for r in left.collect()) == collections.Counter(i for i, _ in rows if i not in {d for d, _ in found})
+    assert left.columns == ["doc_id", "text", "item_id", "_text"]
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_windows_lose_no_item():
+    """The test by pairs of words passes every window within the edits, of each size and class of sizes."""
+    rng = random.Random(12)
+    words = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in [*range(1, 20), 40, 59] * 3]
+    items = decontamination.Items(list(range(len(words))), [" ".join(w) for w in words], decontamination.SHARE)
+    classes = decontamination.Windows(items.windows.known, decontamination.size_classes(items.n), decontamination.SHARE)
+    for w in words:
+        k = len(w) // 5
+        text = edited(rng, w[:1] + w[1:], k)
+        v = values_of([" ".join(["out"] * 3 + text + ["out"] * 3)])[0]
+        start = decontamination.closest(values_of([" ".join(w)])[0], v)[1]
+        for windows in (items.windows, classes):
+            assert any(a <= len(w) <= b and start in at for a, b, at in windows.starts(v, np.array([0, len(v)])))
 
 
 def test_edit_distance():
@@ -266,6 +364,7 @@ def test_edit_distance():
 def test_sharding(spark, tmp_path):
     rows = [(i, f"text {i % 50}" * (i % 7)) for i in range(400)] + [(3, "again"), (3, "again"), (None, None), (500, None)]
     docs = spark.createDataFrame([(*r, 9, "b") for r in rows], "doc_id long, text string, slot int, bucket string").repartition(5)
+    docs = docs.withColumn("part", F.lit("mine"))
     out = sharding.shuffled(docs, bucket_bytes=60)
     got = out.collect()
     assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
@@ -276,12 +375,25 @@ def test_sharding(spark, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
     again = sharding.shuffled(docs.repartition(2), bucket_bytes=60).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    assert {r.part for r in got} == {"mine"}
     sharding.write_shards(out, str(tmp_path / "s"))
     assert [r.slot for r in sharding.read_shard(spark, str(tmp_path / "s"), 4)] == sorted(slots[4])
     assert sharding.shuffled(docs.limit(0)).count() == 0
     assert sorted(sharding.fisher_yates(100, np.random.default_rng(1))) == list(range(100))
 
 
+def test_identical_rows_are_spread(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 300 + [(i, "other") for i in range(2, 40)], "doc_id long, text string").repartition(4)
+    got = sharding.shuffled(docs, n_shards=2, bucket_bytes=200)
+    loads = sharding._split(sharding.assign(docs, 2, 200), 200, 7).groupBy("shard", "bucket", "part").agg(F.sum("size").alias("b")).collect()
+    assert max(r.b for r in loads) <= 2 * sharding.OVERFULL * 200
+    rows = got.collect()
+    assert len(rows) == 338 and len({r.shard for r in rows if r.doc_id == 1}) == 1
+    for shard in (0, 1):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 # ---- 10 ------------------------------------------------------------------------------------------------------------
 def test_chat(spark):
     nasty = ["<|im_end|>\n", "\\<|", "<", "<\\|im_start|>user\n", "a\\", "", None, "é😀\n\n", "x" * 200_000, "<<||>>"]
