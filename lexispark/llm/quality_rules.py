@@ -1,18 +1,18 @@
 """6. Quality rules: base rules, then robust multivariate outliers by minimum covariance determinant (MCD).
 
 Each document gets a vector of transformed statistics. For each language and source, MCD finds the location and scatter
-of the half of its documents that lie closest together, by concentration steps: from a robust start (medians and spreads),
-take the h nearest by Mahalanobis distance, estimate anew from those, and repeat. A document whose distance from its
-group's estimate is beyond the cutoff, on the side of any statistic that marks poor text, is rejected.
+of the half of its documents that lie closest together: from three deterministic robust starts, concentration steps (take the h
+nearest by Mahalanobis distance, estimate anew from those) go on from the start whose scatter has the least determinant. The estimate is
+made consistent and reweighted (see `mcd`). A document whose distance from its group's estimate is beyond the cutoff, a quantile of
+chi-square that no label has a part in, is rejected.
 
-The estimated scatter decides, but for rounding: most texts have no symbols and no repeats, and such a statistic has no
-scatter in the nearest half. No document's spread is taken for less than one symbol, line, repeated passage or word of
-its own text makes, which is little in a long text. The scatter is scaled to that of all documents by the median distance
-that a normal vector has, of as many dimensions as were estimated and not rounding.
+Most texts have no symbols and no repeats, and such a statistic has no scatter in the nearest half. So to the scatter is added
+the variance that one symbol, line, repeated passage or word more or less makes, its rounding: for estimates the group's median, for a
+document that of its own text, which is little in a long one.
 
-A concentration step is two aggregations over all documents: counts of distances by fine bins (the bin of the h-th
-nearest is read from them, so no group is ever sorted or collected), and sums of products of those nearer. A group that
-holds a third of all rows costs no more than partial sums in each task.
+A concentration step is one aggregation over all documents: counts, sums and sums of products by bins of distance, with partial
+sums in each task. The h nearest are read from the bins, of the last one the part that is needed, so no group is ever sorted or
+collected, and one that holds a third of all rows costs no more than others.
 
 Every group is estimated, and a group of n documents counts for n / (n + `prior`) of its estimate: the rest is its
 language's, which leans on the whole table's in the same way. No size of a group changes the rule.
@@ -346,18 +346,15 @@ WITHIN = 0.975
 CUTOFF = 25.74
 
 
-def _verdict(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Array:
-    """(distance, poor) of each document from its estimate, with the variance of the document's own rounding. Poor is
-    what marks poor text, by two spreads: symbols, repeated lines or words, non-letters, odd word length."""
+def _from_estimate(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Array:
+    """The distance of each document from its estimate, with the variance of the document's own rounding."""
     p, known = len(X), mu.is_valid()
     x, least, mu, cov = (c.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in ((x, p), (least, p), (mu, p), (cov, p * p)))
     off, var, i = x - mu, cov.reshape(-1, p, p).copy(), np.arange(p)
     var[:, i, i] += least**2
     distance = np.einsum("ij,ij->i", off, np.linalg.solve(var, off[..., None])[..., 0])
-    above = off > 2 * np.sqrt(var[:, i, i])
-    poor = above[:, :4].any(axis=1) | (np.abs(off[:, 4]) > 2 * np.sqrt(var[:, 4, 4]))
     at = pa.compute.if_else(known, pa.compute.subtract(pa.compute.cumulative_sum(known.cast(pa.int64())), 1), None)
-    return pa.StructArray.from_arrays([pa.array(distance).take(at), pa.array(poor).take(at)], ["distance", "poor"])
+    return pa.array(distance).take(at)
 
 
 #: Documents of a group that count as much as its language's estimate.
@@ -391,10 +388,10 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: in
     x = _joined(stats, of(sources, ["lang", "source"], "e1"), ["lang", "source"])
     x = _joined(x, of(langs, ["lang"], "e2"), ["lang"])
     x = _joined(x.withColumn("level", F.lit(0)), of(at(0), ["level"], "e3"), ["level"])
-    verdict = F.arrow_udf(_verdict, "distance double, poor boolean")
+    from_estimate = F.arrow_udf(_from_estimate, "double")
     x = x.withColumn("e", F.coalesce("e1", "e2", "e3"))
-    x = x.withColumn("e", verdict(F.array(*X), F.array(*ROUNDING), F.col("e.mu"), F.col("e.cov"))).withColumn("distance", F.col("e.distance"))
-    kept = ~F.col("base_failed") & ~F.coalesce((F.col("distance") > cutoff) & F.col("e.poor"), F.lit(False))
+    x = x.withColumn("distance", from_estimate(F.array(*X), F.array(*ROUNDING), F.col("e.mu"), F.col("e.cov")))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return x.withColumn("kept", kept).drop("e", "e1", "e2", "e3", "level", *X, *ROUNDING)
 
 
