@@ -30,6 +30,7 @@ from lexispark.llm.common import Words, text_slices
 from lexispark.llm.repeats import HOT, Unit, removed, spans, text_id
 
 LENGTH, K = 50, 8
+OURS = ("n_words", "n_removed", "kept_sha256", "_spans", "_copy", "_id", "_least")
 #: Lengths of prefixes beyond the first k words.
 PREFIXES = (16, 32)
 
@@ -83,7 +84,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, digests: bool = False) -> DataFrame:
     """`docs` with n_words, n_removed and, of documents that lose words, the text without them; with `digests`,
     kept_sha256 (of the kept words joined by one space) in place of the text."""
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_spans", "_copy", "_id", "_least")
+    docs = docs.drop(*OURS)
     found = repeats(docs, length, k, hot).select(F.col("id").alias("_id"), F.col("least_id").alias("_least"), F.col("spans").alias("_spans"))
     joined = docs.withColumn("_id", text_id()).join(found, "_id", "left")
     joined = joined.withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("_least"), F.lit(False))).drop("_id", "_least")
