@@ -5,7 +5,7 @@ Each stage works on what the one before it kept and is written as Parquet before
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,33 +14,54 @@ from lexispark.llm import decontamination, near_dup, packing, quality_rules, sub
 from lexispark.llm.common import staged
 
 
+def _apart(docs: DataFrame, ours: Iterable[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `stage` makes of `docs`, with the columns of `docs`; those named like the operator's own are out of its way."""
+    names = {c.lower() for c in ours}
+    hidden = {c: f"__{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    out = stage(docs.withColumnsRenamed(hidden))
+    return out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that the rules reject go."""
-    return quality_rules.judge(docs, keep_text=True).where("kept").select(*docs.columns)
+    """Operator 6: documents that the rules reject go. Null and empty texts fail the base rules and go; rows with a null doc_id,
+    lang or source are judged like others; repeated rows get equal verdicts; an empty table stays empty; other columns stay."""
+    ours = (*quality_rules.STATS, *quality_rules.MORE, *quality_rules.VERDICT, *quality_rules.X, *quality_rules.ROUNDING, "e", "e1", "e2", "e3", "level")
+    return _apart(docs, ours, lambda d: quality_rules.judge(d, keep_text=True).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4 on five-word shingles from 0.8: the least doc_id of each component stays. Of its rows, those with equal
-    texts stay once, and different texts all stay. Rows with a null doc_id are linked with nothing and all stay."""
+    texts stay once, and different texts all stay. Rows with a null doc_id are linked with nothing and all stay; so do null, empty and
+    wordless texts, each row of a doc_id with equal ones once; an empty table stays empty; other columns stay (of equal rows, one row's)."""
     known = docs.where(F.col("doc_id").isNotNull())
-    kept = near_dup.near_duplicates(known, k=5, num=80, den=100).where("kept").select("doc_id")
-    once = known.join(kept, "doc_id", "left_semi").withColumn("_digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "_digest"])
+    kept = near_dup.near_duplicates(known, k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = known.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
+    once = stay.withColumn("__digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "__digest"])
     return once.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2 on windows of 50 words: the words that an earlier document has go; a document with none left goes too."""
-    out = substring_dedup.dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Operator 2 on windows of 50 words: the words that an earlier document has go; a document with none left goes too. Null, empty
+    and short texts stay as they are; rows with a null doc_id lose nothing and cost others nothing; rows that repeat a doc_id aren't
+    earlier than each other; an empty table stays empty; n_chars is counted again where words went, other columns stay."""
+
+    def stage(d: DataFrame) -> DataFrame:
+        out = substring_dedup.dedup(d).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+        chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+        return out.withColumns({c: F.coalesce(chars, F.col(c)).cast(d.schema[c].dataType) for c in ("n_chars",) if c in d.columns})
+
+    return _apart(docs, substring_dedup.OURS, stage)
 
 
 def decontamination_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that hold a benchmark item go."""
+    """Operator 7: documents that hold a benchmark item go. Null and empty texts hold none; each row is judged by its text alone, so
+    null and repeated doc_ids don't matter; an empty table stays empty; other columns stay."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: pieces with their ids, sequence and offset."""
+    """Operator 8: pieces with their ids, sequence and offset. A null or empty text is its closing id alone; repeated rows are packed
+    each for itself; a null doc_id stays null; an empty table gives no pieces; other columns are left behind."""
     return packing.pack(docs, keep_ids=True)
 
 
