@@ -17,13 +17,39 @@ from lexispark.functions.text import may_stem
 from lexispark.session import ready
 
 # The suffix rules of the published algorithm, in its order.
-STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+STEP2 = (
+    ("ational", "ate"),
+    ("tional", "tion"),
+    ("enci", "ence"),
+    ("anci", "ance"),
+    ("izer", "ize"),
+    ("abli", "able"),
+    ("alli", "al"),
+    ("entli", "ent"),
+    ("eli", "e"),
+    ("ousli", "ous"),
+    ("ization", "ize"),
+    ("ation", "ate"),
+    ("ator", "ate"),
+    ("alism", "al"),
+    ("iveness", "ive"),
+    ("fulness", "ful"),
+    ("ousness", "ous"),
+    ("aliti", "al"),
+    ("iviti", "ive"),
+    ("biliti", "ble"),
+)
+STEP3 = (
+    ("icate", "ic"),
+    ("ative", ""),
+    ("alize", "al"),
+    ("iciti", "ic"),
+    ("ical", "ic"),
+    ("ful", ""),
+    ("ness", ""),
+)
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
-_RULES2 = [tuple(r.split(":")) for r in STEP2.split()]
-_RULES3 = [tuple(r.split(":")) for r in STEP3.split()]
-_RULES4 = STEP4.split()
 _LETTERS = re.compile("[A-Za-z]{3,}")
 _RUNS = re.compile("V+C")
 
@@ -48,7 +74,7 @@ def _ends_cvc(word: str) -> bool:
     return len(word) > 2 and _shape(word)[-3:] == "CVC" and word[-1] not in "wxy"
 
 
-def _first_rule(word: str, rules: list[tuple[str, str]], least: int) -> str:
+def _first_rule(word: str, rules: tuple[tuple[str, str], ...], least: int) -> str:
     """The first suffix that matches decides, even if its stem is too short to be changed."""
     for suffix, to in rules:
         if word.endswith(suffix):
@@ -80,7 +106,7 @@ def _past(w: str) -> str:
 
 
 def _derived(w: str) -> str:
-    for suffix in _RULES4:
+    for suffix in STEP4:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             ok = _measure(stem) > 1 and (suffix != "ion" or stem[-1:] in ("s", "t"))
@@ -105,7 +131,7 @@ def stem(word: str) -> str:
     w = _past(_plural(word.lower()))
     if w.endswith("y") and "V" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    return _final(_derived(_first_rule(_first_rule(w, _RULES2, 0), _RULES3, 0)))
+    return _final(_derived(_first_rule(_first_rule(w, STEP2, 0), STEP3, 0)))
 
 
 def stem_column(spark):

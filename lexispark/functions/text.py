@@ -18,9 +18,14 @@ TOKEN_RE2 = r"(?:[A-Za-z]+|[0-9]+(?:\.[0-9]+)*)(?:[-'']?(?:[A-Za-z]+|[0-9]+(?:\.
 TITLE = r"Title:[ \t\n\x0B\f\r]*([^\n]*)"
 
 
+#: The same with letters and digits of all scripts, for text in other languages; index terms are ASCII.
+UNICODE_TOKEN = r"[\p{L}\p{N}]++(?:(?:[-']|(?<=\p{Nd})\.(?=\p{Nd}))[\p{L}\p{N}]++)*+"
+
+
 def clean_text(c: Column) -> Column:
-    """Null is empty; runs of white space become one space; none at the ends."""
+    """Null is empty, and so is NaN of a number (not the text NaN); runs of white space become one space; none at the ends."""
     text = F.coalesce(c.cast("string"), F.lit(""))
+    text = F.when(F.typeof(c).isin("double", "float") & (text == "NaN"), "").otherwise(text)
     return F.trim(F.regexp_replace(text, BLANK, " "))
 
 
@@ -29,10 +34,10 @@ def word_count(cleaned: Column) -> Column:
     return F.when(cleaned == "", F.lit(0)).otherwise(F.size(F.split(cleaned, " "))).cast("long")
 
 
-def tokenize(c: Column) -> Column:
-    """Lower-case tokens in order. Each token is lowered by itself: lowering a whole text first turns some non-ASCII
+def tokenize(c: Column, unicode: bool = False) -> Column:
+    """Lower-case tokens in order, of ASCII or of all scripts. Each token is lowered by itself: lowering a whole text first turns some non-ASCII
     letters into ASCII ones."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(UNICODE_TOKEN if unicode else TOKEN), F.lit(0)), F.lower)
 
 
 def may_stem(term: Column) -> Column:
@@ -56,3 +61,10 @@ def file_name(doc_id: Column) -> Column:
 def preview(c: Column, n: int = 300) -> Column:
     """The first n characters (code points; a cut never falls inside one)."""
     return F.substring(c, 1, n)
+
+
+def escape_html(c: Column) -> Column:
+    """Text as it goes into a page or an attribute."""
+    for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(plain), F.lit(escaped))
+    return c

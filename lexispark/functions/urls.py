@@ -14,8 +14,8 @@ from lexispark.session import ready
 
 MOST_BYTES = 180
 # What makes a page not worth a visit, by path.
-USELESS_PREFIXES = "join login logout signup settings notifications tasks spaces models docs api".split()
-USELESS_PARTS = "/discussions/ /blob/ /tree/ /resolve/ /commits/ /oauth".split()
+USELESS_PREFIXES = ("join", "login", "logout", "signup", "settings", "notifications", "tasks", "spaces", "models", "docs", "api")
+USELESS_PARTS = ("/discussions/", "/blob/", "/tree/", "/resolve/", "/commits/", "/oauth")
 
 _ENDS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 _URL = r"(?is)^(https?)://([^/]*)(.*)$"

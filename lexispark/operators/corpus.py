@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexispark.functions import text as T
+from lexispark.storage import numbered
 
 FIELDS = ("title", "abstract", "full_text", "acl_id", "year", "author", "url")
 MIN_WORDS, MAX_DOCS = 3000, 40000
 
 
-def with_dense_id(df: DataFrame, order: str, name: str = "doc_id", buckets: int = 64) -> DataFrame:
-    """`name` counts from 0 in the order of `order`. Rows are dealt to ranges by bounds from a small sample, numbered
-    within their range, and moved on by the sizes of the ranges before, so no task sorts the whole table."""
-    sample = [r[0] for r in df.select(order).where(F.col(order).isNotNull()).distinct().orderBy(F.xxhash64(order)).limit(buckets * 32).collect()]
-    bounds = sorted(sample)[:: max(1, len(sample) // buckets)][1:]
-    bucket = F.lit(0)
-    if bounds:
-        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order)))
-    dealt = df.withColumn("_bucket", F.coalesce(bucket, F.lit(0)))
-    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
-    return dealt.withColumn("_within", within).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).drop("_bucket", "_within", "_start")
+def with_dense_id(df: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
+    """`name` counts from 0 in the order of `order`; of ties, in the order of a hash of the whole row."""
+    return numbered(df, order, name=name)
 
 
 def cleaned(papers: DataFrame) -> DataFrame:
@@ -33,12 +23,13 @@ def cleaned(papers: DataFrame) -> DataFrame:
     return out.withColumn("word_count", T.word_count(F.col("full_text")))
 
 
-def filter_report(papers: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row: saved, skipped_empty, skipped_short."""
-    empty = F.col("full_text") == ""
-    return cleaned(papers).agg(
-        F.count_if(~empty & (F.col("word_count") >= min_words)).alias("saved"), F.count_if(empty).alias("skipped_empty"), F.count_if(~empty & (F.col("word_count") < min_words)).alias("skipped_short")
-    )
+def filter_report(papers: DataFrame, order: str, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS) -> DataFrame:
+    """One row: saved, skipped_empty, skipped_short. Rows are taken in the order of `order` (unique) until max_docs are saved; those
+    after the last saved one aren't looked at."""
+    rows = cleaned(papers).select(F.col(order).alias("at"), (F.col("full_text") == "").alias("empty"), (F.col("word_count") >= min_words).alias("long"))
+    last = rows.where(~F.col("empty") & F.col("long")).orderBy("at").limit(max_docs).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last"))
+    seen = rows.crossJoin(F.broadcast(last)).where((F.col("n") < max_docs) | (F.col("at") <= F.col("last")))
+    return seen.agg(F.count_if(~F.col("empty") & F.col("long")).alias("saved"), F.count_if("empty").alias("skipped_empty"), F.count_if(~F.col("empty") & ~F.col("long")).alias("skipped_short"))
 
 
 def extract(papers: DataFrame, order: str, min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -46,15 +37,21 @@ def extract(papers: DataFrame, order: str, min_words: int = MIN_WORDS, max_docs:
     doc_id, file, doc_text, word_count and text_length."""
     kept = cleaned(papers).where((F.col("full_text") != "") & (F.col("word_count") >= min_words)).orderBy(order).limit(max_docs)
     text = T.document_text(*[F.col(c) for c in ("title", "abstract", "full_text")])
-    return with_dense_id(kept, order).withColumns({"file": T.file_name(F.col("doc_id")), "doc_text": text, "text_length": F.length("full_text").cast("long")})
+    return with_dense_id(kept, order).withColumns({"file": T.file_name(F.col("doc_id")), "doc_text": text, "text_length": F.length(text).cast("long")})
 
 
 def metadata(extracted: DataFrame) -> DataFrame:
     return extracted.select("doc_id", "file", "acl_id", "title", "author", "year", "url", "word_count", "text_length")
 
 
-def corpus_stats(docs: DataFrame, text: str = "text", raw_bytes: int = 0) -> DataFrame:
-    """One row of totals and averages; averages of nothing are 0."""
+def raw_size(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a source table, as they lie there."""
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct()
+    return files.agg(F.sum("n")).first()[0] or 0
+
+
+def corpus_stats(docs: DataFrame, raw_bytes: int, text: str = "text") -> DataFrame:
+    """One row of totals and averages; averages of nothing are 0. `raw_bytes` is the source's `raw_size`."""
     t = F.coalesce(F.col(text), F.lit(""))
     totals = docs.select(F.octet_length(t).cast("long").alias("b"), F.char_length(t).cast("long").alias("c"), T.word_count(T.clean_text(t)).alias("w"))
     totals = totals.agg(F.count(F.lit(1)).alias("docs"), *[F.coalesce(F.sum(x), F.lit(0)).alias(n) for x, n in (("b", "bytes"), ("c", "chars"), ("w", "words"))])

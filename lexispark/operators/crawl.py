@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.functions import urls as U
+from lexispark.storage import staged
 
 DOCUMENTS = "url string, html string, source string, crawl_timestamp long, etag string, last_modified string, content_hash string, status_code long"
 FRONTIER = "url string, status string, discovered_from string, fail_count long, last_crawled_at long, next_crawl_at long, created_at long, picked_at long"
@@ -23,11 +24,18 @@ STATUSES = ("pending", "in_progress", "done", "failed")
 
 @dataclass(frozen=True)
 class Config:
+    """All keys of a crawl configuration. The delay, the time limit and the agent's name are for whoever fetches."""
+
     allowed_domains: Sequence[str]
     seed_urls: Sequence[str] = ()
-    recrawl_seconds: int = 86400
-    max_pages: int = 100
+    recrawl_interval_seconds: int = 86400
+    max_pages_per_run: int = 100
     max_html_bytes: int = 2_000_000
+    crawl_delay_seconds: int = 1
+    request_timeout_seconds: int = 15
+    user_agent: str = ""
+    db_path: str = ""
+    seed_urls_file: str = ""
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -75,14 +83,14 @@ def conditional(picked: DataFrame, documents: DataFrame) -> DataFrame:
 def outcomes(fetched: DataFrame, documents: DataFrame, config: Config) -> DataFrame:
     """`fetched` with its hash and outcome: the first that holds."""
     stored = documents.select("url", F.col("content_hash").alias("stored_hash"))
-    kind = F.coalesce(F.col("content_type"), F.lit(""))
+    kind = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
     too_large = F.coalesce(F.col("too_large"), F.lit(False)) | (F.octet_length("body") > config.max_html_bytes)
     out = fetched.join(stored, "url", "left").withColumn("content_hash", U.content_hash(F.coalesce("body", F.lit(""))))
     outcome = (
         F.when(F.coalesce("request_failed", F.lit(False)), "failed_request")
         .when(F.col("status_code") == 304, "not_modified")
         .when(~F.col("status_code").eqNullSafe(200), F.concat(F.lit("failed_http_"), F.coalesce(F.col("status_code"), F.lit(0)).cast("string")))
-        .when(~F.lower(kind).contains("text/html"), F.concat(F.lit("skipped_content_type_"), kind))
+        .when(~kind.contains("text/html"), F.concat(F.lit("skipped_content_type_"), kind))
         .when(F.coalesce(too_large, F.lit(False)), "skipped_too_large")
         .when(F.col("stored_hash").eqNullSafe(F.col("content_hash")), "unchanged")
         .otherwise("changed")
@@ -124,7 +132,7 @@ def mark(frontier: DataFrame, judged: DataFrame, config: Config, now: int) -> Da
         "discovered_from",
         (F.col("fail_count") + F.when(there & ~F.col("_ok"), 1).otherwise(0)).cast("long").alias("fail_count"),
         F.when(there, F.lit(now).cast("long")).otherwise(F.col("last_crawled_at")).alias("last_crawled_at"),
-        F.when(there, F.lit(now + config.recrawl_seconds).cast("long")).otherwise(F.col("next_crawl_at")).alias("next_crawl_at"),
+        F.when(there, F.lit(now + config.recrawl_interval_seconds).cast("long")).otherwise(F.col("next_crawl_at")).alias("next_crawl_at"),
         "created_at",
         "picked_at",
     )
@@ -149,10 +157,11 @@ def apply_fetch(documents: DataFrame, frontier: DataFrame, fetched: DataFrame, c
     return upsert_documents(documents, judged, now), marked, judged.select("url", "outcome")
 
 
-def crawl(documents: DataFrame, frontier: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Config, now: int, batch: int = 20, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
-    """Rounds until config.max_pages are visited or nothing is due. `fetch` turns a batch (url, etag, last_modified) into
-    fetch results; `keep` stores a table between rounds, for instance by writing it and reading it again."""
-    frontier, left = reset_stale(frontier), config.max_pages
+def crawl(documents: DataFrame, frontier: DataFrame, fetch: Callable[[DataFrame], DataFrame], config: Config, now: int, batch: int = 20, keep: Callable[[DataFrame, str], DataFrame] = staged) -> tuple[DataFrame, DataFrame]:
+    """Rounds until config.max_pages_per_run are visited or nothing is due. `fetch` turns a batch (url, etag, last_modified) into
+    fetch results; `keep` stores a table between rounds (in the shared folder, unless told otherwise), so that no round is run again and no
+    page is fetched twice."""
+    frontier, left = reset_stale(frontier), config.max_pages_per_run
     while left > 0:
         frontier, chosen = pick(frontier, now, min(batch, left))
         chosen = keep(chosen, "picked")

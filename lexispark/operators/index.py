@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lexispark.functions import text as T
 from lexispark.functions.stemmer import stem_terms
+from lexispark.storage import summed_before
 
 #: Bytes of a posting in the binary layout: document and frequency.
 POSTING = 8
@@ -17,14 +18,15 @@ POSTING = 8
 
 @dataclass
 class Index:
-    """docs(doc_id, title, path, token_count), postings(term, doc_id, tf)."""
+    """docs(doc_id, title, path, token_count), postings(term, doc_id, tf), and the vocabulary where it is stored."""
 
     docs: DataFrame
     postings: DataFrame
+    stored: DataFrame | None = None
 
     @property
     def vocabulary(self) -> DataFrame:
-        return vocabulary(self.postings)
+        return vocabulary(self.postings) if self.stored is None else self.stored
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,29 +54,24 @@ def build(docs: DataFrame, text: str = "text", path: str | None = None, stem: bo
 
 
 def lists(post: DataFrame) -> DataFrame:
-    """term, df, postings (by document)."""
+    """term, df, postings (by document), for layouts that hold a term's postings in one line: the most frequent term must fit a row.
+    Search and vocabulary don't use them."""
     grouped = post.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
     return grouped.select("term", F.size("postings").cast("long").alias("df"), "postings")
 
 
-def vocabulary(post: DataFrame, buckets: int = 256) -> DataFrame:
-    """term, df, postings_offset, postings_count in byte order of terms. The running offset is taken in two steps, within
-    ranges of terms and over the ranges' totals, so no task holds the whole vocabulary."""
+def vocabulary(post: DataFrame) -> DataFrame:
+    """term, df, postings_offset, postings_count in byte order of terms. The running offset is taken within sampled ranges of terms
+    and over the ranges' totals, so no task holds the whole vocabulary."""
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lead = F.coalesce(F.ascii("term"), F.lit(0)) * 256 + F.coalesce(F.ascii(F.substring("term", 2, 1)), F.lit(0))
-    ranged = df.withColumn("_range", lead)
-    totals = ranged.groupBy("_range").agg(F.sum("df").alias("_total"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy("_range").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("_before", F.coalesce(F.sum("df").over(own), F.lit(0))).join(F.broadcast(starts), "_range")
-    return placed.select("term", "df", (POSTING * (F.col("_start") + F.col("_before"))).alias("postings_offset"), F.col("df").alias("postings_count"))
+    placed = summed_before(df, "term", value="df", name="before")
+    return placed.select("term", "df", (POSTING * F.col("before")).alias("postings_offset"), F.col("df").alias("postings_count"))
 
 
 def header_stats(index: Index) -> DataFrame:
     """One row: docs, terms, postings, avg_term_length (over distinct terms), and the sizes of the binary files."""
     d = index.docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
-    v = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    v = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if index.stored is None else index.stored
     v = v.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"), F.coalesce(F.avg(F.length("term")), F.lit(0.0)).alias("avg_term_length"), F.coalesce(F.sum(24 + F.length("term")), F.lit(0)).alias("vocab_bytes"))
     return d.crossJoin(v).select("docs", "tokens", "terms", "postings", "avg_term_length", "vocab_bytes", (POSTING * F.col("postings")).alias("postings_bytes"))
 
@@ -85,7 +82,7 @@ def dump_docs(index: Index, n: int = 5) -> DataFrame:
 
 def dump_terms(index: Index, n: int = 5) -> DataFrame:
     """The first n terms, each with its first n postings."""
-    first = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy("term").limit(n)
+    first = index.vocabulary.select("term", "df").orderBy("term").limit(n)
     rows = index.postings.join(F.broadcast(first), "term").withColumn("nth", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).where(F.col("nth") <= n)
     return rows.select("term", "df", "nth", "doc_id", "tf")
 
@@ -93,3 +90,8 @@ def dump_terms(index: Index, n: int = 5) -> DataFrame:
 def term_totals(post: DataFrame) -> DataFrame:
     """term, freq in the whole collection."""
     return post.groupBy("term").agg(F.sum("tf").alias("freq"))
+
+
+def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, freq in the whole collection, straight from the texts: one shuffle of a row a term and task."""
+    return docs.select(F.explode(T.tokenize(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("freq"))

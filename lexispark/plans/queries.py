@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from dataclasses import asdict
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,8 @@ from lexispark.functions import text as T
 from lexispark.functions import urls as U
 from lexispark.functions.stemmer import stem_column
 from lexispark.operators import boolean, corpus, crawl, index, search, zipf
-from lexispark.sources import writers
+from lexispark.sources import readers, writers
+from lexispark.storage import new_path
 from lexispark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,20 +44,36 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def _index(spark: SparkSession, d: str) -> index.Index:
-    return index.build(_docs(spark, d).select("doc_id", "text"))
+_stored: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, d: str, stem: bool = False) -> index.Index:
+    """The documents' index, written once a session and read as any search reads one: clustered by term."""
+    key = (spark.sparkContext.applicationId, d, stem)
+    if key not in _stored:
+        at = new_path(spark, "index")
+        writers.write_index(index.build(_docs(spark, d).select("doc_id", "text"), stem=stem), at)
+        _stored[key] = at
+    return readers.read_index(spark, _stored[key])
 
 
 def _post(spark: SparkSession, d: str) -> DataFrame:
     return index.postings(_docs(spark, d).select("doc_id", "text"))
 
 
+def _terms(spark: SparkSession, d: str) -> DataFrame:
+    return index.term_counts(_docs(spark, d))
+
+
 # ---- SQL building blocks -------------------------------------------------------------------------------------------
 _TOK = f"list_transform(regexp_extract_all(coalesce(text, ''), '{T.TOKEN_RE2}'), lambda x: lower(x))"
 _T = f"t AS (SELECT doc_id, text, {_TOK} AS toks FROM documents)"
 _P = _T + ", p AS (SELECT term, doc_id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM t) GROUP BY 1, 2)"
 _BLANK = r"[\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-_CLEAN = f"trim(regexp_replace(coalesce(text, ''), '{_BLANK}', ' ', 'g'))"
+_clean = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '{_BLANK}', ' ', 'g'))"
+_CLEAN = _clean("text")
+#: The whole labelled document of a paper row.
+_DOCUMENT = f"'Title: Paper ' || doc_id || chr(10) || chr(10) || 'Abstract: ' || {_clean('left(text, 40)')} || chr(10) || chr(10) || 'Full text:' || chr(10) || cleaned || chr(10)"
 _C = f"c AS (SELECT doc_id, text, source, {_CLEAN} AS cleaned FROM documents), w AS (SELECT *, CASE WHEN cleaned = '' THEN 0 ELSE len(string_split(cleaned, ' ')) END::BIGINT AS word_count FROM c)"
 _NAME = "'doc_' || CASE WHEN {0} < 1000000 THEN lpad({0}::VARCHAR, 6, '0') ELSE {0}::VARCHAR END || '.txt'"
 
@@ -72,24 +92,72 @@ def _papers(spark, d):
     )
 
 
-@query("corpus_filter_report", f"WITH {_C} SELECT count(*) FILTER (cleaned <> '' AND word_count >= {MIN_WORDS}) AS saved, count(*) FILTER (cleaned = '') AS skipped_empty, count(*) FILTER (cleaned <> '' AND word_count < {MIN_WORDS}) AS skipped_short FROM w")
+_PAPERS = "SELECT 'Paper ' || doc_id AS title, left(text, 40) AS abstract, text AS full_text, 'P' || doc_id AS acl_id, '2020' AS year, source AS author, 'https://example.org/' || doc_id AS url FROM documents"
+
+
+@query("papers_scan", _PAPERS)
+def papers_scan(spark, d):
+    at = new_path(spark, "papers")
+    _papers(spark, d).withColumn("other", F.lit(1)).write.parquet(at)
+    return readers.read_papers(spark, at)
+
+
+def _report_sql(cap: int) -> str:
+    return f"""WITH {_C}, r AS (SELECT doc_id, cleaned = '' AS empty, word_count >= {MIN_WORDS} AS long FROM w), k AS (SELECT doc_id FROM r WHERE NOT empty AND long ORDER BY doc_id LIMIT {cap}),
+    s AS (SELECT * FROM r WHERE (SELECT count(*) FROM k) < {cap} OR doc_id <= (SELECT max(doc_id) FROM k))
+    SELECT count(*) FILTER (NOT empty AND long) AS saved, count(*) FILTER (empty) AS skipped_empty, count(*) FILTER (NOT empty AND NOT long) AS skipped_short FROM s"""
+
+
+@query("corpus_filter_report", _report_sql(corpus.MAX_DOCS))
 def corpus_filter_report(spark, d):
-    return corpus.filter_report(_papers(spark, d), MIN_WORDS)
+    return corpus.filter_report(_papers(spark, d), "doc_id", MIN_WORDS)
 
 
-@query(
-    "corpus_extract_meta",
-    f"""WITH {_C}, k AS (SELECT * FROM w WHERE cleaned <> '' AND word_count >= {MIN_WORDS} ORDER BY doc_id LIMIT {corpus.MAX_DOCS}),
-    n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, * FROM k)
-    SELECT i AS doc_id, {_NAME.format('i')} AS file, 'P' || doc_id AS acl_id, 'Paper ' || doc_id AS title, source AS author, '2020' AS year, 'https://example.org/' || doc_id AS url, word_count, length(cleaned)::BIGINT AS text_length FROM n""",
-)
+@query("corpus_filter_report_capped", _report_sql(50))
+def corpus_filter_report_capped(spark, d):
+    return corpus.filter_report(_papers(spark, d), "doc_id", MIN_WORDS, 50)
+
+
+def _extracted_sql(cap: int = corpus.MAX_DOCS) -> str:
+    return f"""WITH {_C}, k AS (SELECT * FROM w WHERE cleaned <> '' AND word_count >= {MIN_WORDS} ORDER BY doc_id LIMIT {cap}), n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, *, {_DOCUMENT} AS document FROM k)"""
+
+
+_META = f"""SELECT i AS doc_id, {_NAME.format('i')} AS file, 'P' || doc_id AS acl_id, 'Paper ' || doc_id AS title, source AS author, '2020' AS year, 'https://example.org/' || doc_id AS url, word_count, length(document)::BIGINT AS text_length FROM n"""
+
+
+def _extracted(spark, d, cap: int = corpus.MAX_DOCS) -> DataFrame:
+    return corpus.extract(_papers(spark, d).withColumnRenamed("doc_id", "row_id"), "row_id", MIN_WORDS, cap)
+
+
+@query("corpus_extract_meta", f"{_extracted_sql()} {_META}")
 def corpus_extract_meta(spark, d):
-    return corpus.metadata(corpus.extract(_papers(spark, d).withColumnRenamed("doc_id", "row_id"), "row_id", MIN_WORDS))
+    return corpus.metadata(_extracted(spark, d))
+
+
+@query("corpus_extract_capped", f"{_extracted_sql(50)} {_META}")
+def corpus_extract_capped(spark, d):
+    return corpus.metadata(_extracted(spark, d, 50))
+
+
+@query("metadata_json_roundtrip", f"{_extracted_sql()} {_META}")
+def metadata_json_roundtrip(spark, d):
+    at, meta = new_path(spark, "meta"), corpus.metadata(_extracted(spark, d))
+    writers.write_metadata(meta, at)
+    return spark.read.schema(meta.schema).json(at)
 
 
-@query("corpus_stats", f"WITH {_C} SELECT 0::BIGINT AS raw_bytes, count(*) AS docs, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, sum(length(coalesce(text, '')))::BIGINT AS chars, sum(word_count)::BIGINT AS words, round(sum(strlen(coalesce(text, ''))) / count(*), 6) AS avg_bytes, round(sum(length(coalesce(text, ''))) / count(*), 6) AS avg_chars, round(sum(word_count) / count(*), 6) AS avg_words FROM w")
+@query("text_folder_roundtrip", f"{_extracted_sql()} SELECT i AS doc_id, {_NAME.format('i')} AS file, md5(document) AS text_md5 FROM n")
+def text_folder_roundtrip(spark, d):
+    at = new_path(spark, "corpus")
+    writers.write_corpus(_extracted(spark, d), at)
+    return readers.read_text_folder(spark, at).select("doc_id", F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.md5("text").alias("text_md5"))
+
+
+@query("corpus_stats", f"WITH {_C} SELECT count(*) AS docs, sum(strlen(coalesce(text, '')))::BIGINT AS bytes, sum(length(coalesce(text, '')))::BIGINT AS chars, sum(word_count)::BIGINT AS words, round(sum(strlen(coalesce(text, ''))) / count(*), 6) AS avg_bytes, round(sum(length(coalesce(text, ''))) / count(*), 6) AS avg_chars, round(sum(word_count) / count(*), 6) AS avg_words FROM w")
 def corpus_stats(spark, d):
-    return corpus.corpus_stats(_docs(spark, d)).withColumns({c: F.round(c, 6) for c in ("avg_bytes", "avg_chars", "avg_words")})
+    """The size of the files that lie there is no matter of SQL, and left to the tests."""
+    raw = corpus.raw_size(spark, f"{d}/documents.parquet")
+    return corpus.corpus_stats(_docs(spark, d), raw).drop("raw_bytes").withColumns({c: F.round(c, 6) for c in ("avg_bytes", "avg_chars", "avg_words")})
 
 
 @query("title_extract", f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN 'Title: ' || chr(10) || chr(10) || 'Abstract: x' ELSE 'Title: Paper ' || doc_id || chr(10) || chr(10) || 'Abstract: ' || left(text, 40) || chr(10) || chr(10) || 'Full text:' || chr(10) || text || chr(10) END AS text FROM documents)
@@ -106,6 +174,15 @@ def tokenize_exploded(spark, d):
     return index.tokens(_docs(spark, d)).withColumn("position", F.col("position").cast("long"))
 
 
+_UNICODE_RE2 = r"(?:[\p{L}\p{Nl}\p{No}]+|\p{Nd}+(?:\.\p{Nd}+)*)(?:[-'']?(?:[\p{L}\p{Nl}\p{No}]+|\p{Nd}+(?:\.\p{Nd}+)*))*"
+
+
+@query("tokenize_unicode", f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{_UNICODE_RE2}'), lambda x: lower(x)) AS t FROM documents)")
+def tokenize_unicode(spark, d):
+    t = T.tokenize(F.col("text"), unicode=True)
+    return _docs(spark, d).select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
 @query("token_stats", f"WITH {_T}, n AS (SELECT strlen(coalesce(text, '')) AS b, len(toks) AS n, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0) AS l FROM t) SELECT count(*) AS files, sum(n)::BIGINT AS tokens, round(sum(l) / sum(n), 6) AS avg_token_length, sum(b)::BIGINT AS bytes, round(sum(b) / 1024, 6) AS kilobytes FROM n")
 def token_stats(spark, d):
     return corpus.token_stats(_docs(spark, d)).withColumns({c: F.round(c, 6) for c in ("avg_token_length", "kilobytes")})
@@ -148,12 +225,45 @@ def index_dump_docs(spark, d):
 
 @query("collection_term_freq_top", f"WITH {_P} SELECT term, sum(tf)::BIGINT AS freq FROM p GROUP BY term ORDER BY freq DESC, term LIMIT 100")
 def collection_term_freq_top(spark, d):
-    return index.term_totals(_post(spark, d)).orderBy(F.desc("freq"), "term").limit(100)
+    return _terms(spark, d).orderBy(F.desc("freq"), "term").limit(100)
 
 
 @query("postings_lookup", f"WITH {_P} SELECT term, doc_id, tf FROM p WHERE term IN ('the', 'of', 'la')")
 def postings_lookup(spark, d):
-    return _post(spark, d).where(F.col("term").isin("the", "of", "la"))
+    return _index(spark, d).postings.where(F.col("term").isin("the", "of", "la"))
+
+
+def _text_index(spark, d) -> str:
+    at = new_path(spark, "text-index")
+    writers.write_text_index(_index(spark, d), at)
+    return at
+
+
+@query("docs_tsv_roundtrip", f"SELECT doc_id, {_NAME.format('doc_id')} AS path FROM documents")
+def docs_tsv_roundtrip(spark, d):
+    return readers.read_docs_tsv(spark, f"{_text_index(spark, d)}/docs")
+
+
+@query("postings_tsv_roundtrip", f"WITH {_P} SELECT term, doc_id, tf FROM p")
+def postings_tsv_roundtrip(spark, d):
+    return readers.read_postings_tsv(spark, f"{_text_index(spark, d)}/postings")
+
+
+@query("dictionary_tsv_roundtrip", f"WITH {_P} SELECT term || chr(9) || count(*) AS value FROM p GROUP BY term")
+def dictionary_tsv_roundtrip(spark, d):
+    return spark.read.text(f"{_text_index(spark, d)}/dictionary")
+
+
+@query("index_roundtrip", f"WITH {_P} SELECT term, doc_id, tf FROM p")
+def index_roundtrip(spark, d):
+    return _index(spark, d).postings
+
+
+@query("binary_index_roundtrip", f"WITH {_P} SELECT term, doc_id, tf FROM p")
+def binary_index_roundtrip(spark, d):
+    with tempfile.TemporaryDirectory() as at:
+        writers.write_binary_index(_index(spark, d), at)
+        return readers.read_binary_index(spark, at).postings
 
 
 # ---- ranked search -------------------------------------------------------------------------------------------------
@@ -175,7 +285,7 @@ def ranked_top10_repeated_term(spark, d):
 
 @query("ranked_top10_stemmed")
 def ranked_top10_stemmed(spark, d):
-    return search.ranked(index.build(_docs(spark, d).select("doc_id", "text"), stem=True), "inging thontions the", stem_query=True)
+    return search.ranked(_index(spark, d, stem=True), "inging thontions the", stem_query=True)
 
 
 _BATCH = {"q1": "the of", "q2": "la la que", "q3": "und der die", "q4": "zzz"}
@@ -227,12 +337,20 @@ _R = f"WITH {_P}, f AS (SELECT term, sum(tf)::BIGINT AS real_freq FROM p GROUP B
 
 @query("zipf_rank_table", f"{_R} SELECT rank, real_freq, c / rank AS zipf_ideal, round(c_fit / pow(rank, s), 6) AS zipf_fit FROM r, z")
 def zipf_rank_table(spark, d):
-    return zipf.table(_post(spark, d)).withColumn("zipf_fit", F.round("zipf_fit", 6))
+    return zipf.table(_terms(spark, d)).withColumn("zipf_fit", F.round("zipf_fit", 6))
 
 
 @query("zipf_fit", f"{_R} SELECT terms, round(s, 8) AS s, round(c_fit, 4) AS c_fit, c FROM z")
 def zipf_fit(spark, d):
-    return zipf.fit(_post(spark, d)).withColumns({"s": F.round("s", 8), "c_fit": F.round("c_fit", 4)})
+    return zipf.fit(_terms(spark, d)).withColumns({"s": F.round("s", 8), "c_fit": F.round("c_fit", 4)})
+
+
+@query("rank_csv_roundtrip", f"{_R} SELECT rank, real_freq, round(c / rank, 6) AS zipf_ideal, round(c_fit / pow(rank, s), 6) AS zipf_fit FROM r, z")
+def rank_csv_roundtrip(spark, d):
+    at = new_path(spark, "ranks")
+    writers.write_rank_table(zipf.table(_terms(spark, d)), at)
+    back = spark.read.schema("rank long, real_freq long, zipf_ideal double, zipf_fit double").option("header", "true").csv(at)
+    return back.withColumns({c: F.round(c, 6) for c in ("zipf_ideal", "zipf_fit")})
 
 
 # ---- URLs and links ------------------------------------------------------------------------------------------------
@@ -273,12 +391,48 @@ def html_preview(spark, d):
     return _pages(spark, d).select("page_id", T.preview(F.col("html")).alias("preview"), U.content_hash(F.col("html")).alias("content_hash"))
 
 
-@query("extract_links")
+@query("html_escape", """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')) AS escaped_md5 FROM pages""")
+def html_escape(spark, d):
+    return _pages(spark, d).select("page_id", F.md5(T.escape_html(F.col("html"))).alias("escaped_md5"))
+
+
+_ORIGIN = "regexp_extract({0}, '(?i)^(https?://[^/?#]*)', 1)"
+
+
+@query(
+    "url_join",
+    f"""WITH h AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN {_ORIGIN.format('url')} || '/p/' || page_id || '?x=1#y' WHEN 1 THEN 'HTTPS://Other.org/q/' || page_id || '/' WHEN 2 THEN 'http://Third.org/r' END AS joined FROM pages)
+    SELECT page_id, {_norm('joined')} AS joined FROM h""",
+)
+def url_join(spark, d):
+    """A path, an address, one without its scheme's case, and no link at all, from each page."""
+    i = F.col("page_id")
+    href = F.when(i % 4 == 0, F.concat(F.lit(" /p/"), i, F.lit("?x=1#y"))).when(i % 4 == 1, F.concat(F.lit("HTTPS://Other.org/q/"), i, F.lit("/"))).when(i % 4 == 2, F.lit("http://Third.org/r"))
+    return _pages(spark, d).select("page_id", U.join_url(spark, F.col("url"), href).alias("joined"))
+
+
+@query("header_values", "SELECT page_id, '\"' || page_id || '\"' AS etag, CASE WHEN page_id % 2 = 0 THEN 'Text/HTML' ELSE '' END AS content_type, '' AS last_modified FROM pages")
+def header_values(spark, d):
+    i = F.col("page_id").cast("string")
+    block = F.concat(F.lit('HTTP/1.1 200 OK\r\nETAG: "old"\r\neTag:  "'), i, F.lit('"  \r\nX-ETag: no\r\n'), F.when(F.col("page_id") % 2 == 0, "Content-Type: Text/HTML\r\n").otherwise(""))
+    return _pages(spark, d).select("page_id", *[U.header(block, name).alias(name.replace("-", "_")) for name in ("etag", "content-type", "last-modified")])
+
+
+_HREFS = """unnest(regexp_extract_all(html, '(?i)<a[ ][^>]*href="([^"]*)"', 1))"""
+
+
+def _links_sql(pages: str, page: str) -> str:
+    """Links of pages whose hrefs are paths, as those of the tables are."""
+    return f"""h AS (SELECT {page} AS page, url, {_HREFS} AS href FROM {pages}), l AS (SELECT DISTINCT page, {_norm(_ORIGIN.format('url') + ' || href')} AS link FROM h), k AS (SELECT * FROM l WHERE {_ALLOWED.format('link')} AND {_USEFUL.format('link')})"""
+
+
+@query("extract_links", f"WITH {_links_sql('pages', 'page_id')} SELECT page AS page_id, row_number() OVER (PARTITION BY page ORDER BY link) - 1 AS nth, link FROM k")
 def extract_links(spark, d):
-    return _pages(spark, d).select("page_id", F.posexplode(U.extract_links(spark, F.col("url"), F.col("html"), DOMAINS)).alias("nth", "link"))
+    links = _pages(spark, d).select("page_id", F.posexplode(U.extract_links(spark, F.col("url"), F.col("html"), DOMAINS)).alias("nth", "link"))
+    return links.withColumn("nth", F.col("nth").cast("long"))
 
 
-@query("links_distinct")
+@query("links_distinct", f"WITH {_links_sql('pages', 'page_id')} SELECT link, count(*) AS pages FROM k GROUP BY link")
 def links_distinct(spark, d):
     links = _pages(spark, d).select(F.explode(U.extract_links(spark, F.col("url"), F.col("html"), DOMAINS)).alias("link"))
     return links.groupBy("link").agg(F.count(F.lit(1)).alias("pages"))
@@ -340,7 +494,7 @@ def _round(spark, d):
         "url",
         F.when(i % 11 == 0, 404).when(i % 13 == 0, 304).otherwise(200).cast("long").alias("status_code"),
         F.col("html").alias("body"),
-        F.when(i % 17 == 0, "application/pdf").otherwise("Text/HTML; charset=utf-8").alias("content_type"),
+        F.when(i % 17 == 0, "Application/PDF").otherwise("Text/HTML; charset=utf-8").alias("content_type"),
         F.concat(F.lit("e"), i).alias("etag"),
         F.lit("").alias("last_modified"),
         (i % 19 == 0).alias("too_large"),
@@ -378,7 +532,7 @@ def document_upsert(spark, d):
 @query(
     "frontier_after_round",
     f"""WITH {_ROUND} SELECT fr.url, CASE WHEN outcome IN ('changed', 'unchanged', 'not_modified') THEN 'done' ELSE 'failed' END AS status,
-    fail_count + CASE WHEN outcome IN ('changed', 'unchanged', 'not_modified') THEN 0 ELSE 1 END AS fail_count, {NOW}::BIGINT AS last_crawled_at, {NOW + CONFIG.recrawl_seconds}::BIGINT AS next_crawl_at FROM fr JOIN oc ON oc.url = fr.url""",
+    fail_count + CASE WHEN outcome IN ('changed', 'unchanged', 'not_modified') THEN 0 ELSE 1 END AS fail_count, {NOW}::BIGINT AS last_crawled_at, {NOW + CONFIG.recrawl_interval_seconds}::BIGINT AS next_crawl_at FROM fr JOIN oc ON oc.url = fr.url""",
 )
 def frontier_after_round(spark, d):
     documents, frontier, fetched = _round(spark, d)
@@ -386,10 +540,70 @@ def frontier_after_round(spark, d):
     return out.select("url", "status", "fail_count", "last_crawled_at", "next_crawl_at")
 
 
-@query("frontier_with_links")
+@query(
+    "frontier_with_links",
+    f"""WITH {_ROUND}, seen AS (SELECT * FROM oc WHERE outcome IN ('changed', 'unchanged')), {_links_sql('seen', 'url')}
+    SELECT fr.url, CASE WHEN outcome IN ('changed', 'unchanged', 'not_modified') THEN 'done' ELSE 'failed' END AS status, NULL::VARCHAR AS discovered_from, fail_count + CASE WHEN outcome IN ('changed', 'unchanged', 'not_modified') THEN 0 ELSE 1 END AS fail_count,
+      {NOW}::BIGINT AS last_crawled_at, {NOW + CONFIG.recrawl_interval_seconds}::BIGINT AS next_crawl_at, created_at, 0::BIGINT AS picked_at FROM fr JOIN oc ON oc.url = fr.url
+    UNION ALL SELECT link, 'pending', min(page), 0, 0, {NOW}, {NOW}, 0 FROM k WHERE link NOT IN (SELECT url FROM fr) GROUP BY link""",
+)
 def frontier_with_links(spark, d):
     documents, frontier, fetched = _round(spark, d)
-    return crawl.apply_fetch(documents, frontier, fetched, CONFIG, NOW)[1]
+    return crawl.apply_fetch(documents, frontier, fetched, CONFIG, NOW)[1].na.fill(0, ["last_crawled_at", "picked_at"])
+
+
+@query("crawl_conditional", f"WITH {_ROUND} SELECT fr.url, CASE WHEN st.url IS NULL THEN '' ELSE 'old' END AS etag, '' AS last_modified FROM fr LEFT JOIN st ON st.url = fr.url")
+def crawl_conditional(spark, d):
+    documents, frontier, _ = _round(spark, d)
+    return crawl.conditional(frontier, documents)
+
+
+@query(
+    "crawl_loop",
+    f"""WITH u AS (SELECT {_norm('url')} AS url, min(page_id) AS i FROM pages GROUP BY 1), s AS (SELECT * FROM u WHERE {_ALLOWED.format('url')} AND {_USEFUL.format('url')} ORDER BY url LIMIT 25)
+    SELECT url, 'body ' || i AS html, {_HOST.format('url')} AS source, {NOW}::BIGINT AS crawl_timestamp, 200::BIGINT AS status_code FROM s""",
+)
+def crawl_loop(spark, d):
+    """Rounds of ten pages, 25 in all, over all allowed pages."""
+    table = _pages(spark, d).groupBy(U.normalize_url(F.col("url")).alias("url")).agg(F.min("page_id").alias("i"))
+    none = F.lit("")
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        return asked.select("url").join(table, "url").select("url", F.lit(200).cast("long").alias("status_code"), F.concat(F.lit("body "), "i").alias("body"), F.lit("text/html").alias("content_type"), none.alias("etag"), none.alias("last_modified"), F.lit(False).alias("too_large"), F.lit(False).alias("request_failed"))
+
+    frontier = crawl.seed(crawl.empty(spark, crawl.FRONTIER), _pages(spark, d), DOMAINS, NOW)
+    documents, _ = crawl.crawl(crawl.empty(spark, crawl.DOCUMENTS), frontier, fetch, crawl.Config(DOMAINS, max_pages_per_run=25), NOW, 10)
+    return documents.select("url", "html", "source", "crawl_timestamp", "status_code")
+
+
+_CONFIG = """db:
+  path: "crawl.db"  # where it is kept
+
+logic:
+  crawl_delay_seconds: 2
+  recrawl_interval_seconds: 3600
+  request_timeout_seconds: 9
+  max_pages_per_run: 7
+  max_html_bytes: 1000
+  user_agent: "Agent/1.0"
+  allowed_domains:
+    - "example.com"
+    - example.org
+  seed_urls:
+    - "https://example.com/#top"
+  seed_urls_file: ""
+"""
+
+
+@query(
+    "crawl_config",
+    "SELECT * FROM (VALUES ('db_path', 'crawl.db'), ('crawl_delay_seconds', '2'), ('recrawl_interval_seconds', '3600'), ('request_timeout_seconds', '9'), ('max_pages_per_run', '7'), ('max_html_bytes', '1000'), ('user_agent', 'Agent/1.0'), ('allowed_domains', 'example.com,example.org'), ('seed_urls', 'https://example.com/#top'), ('seed_urls_file', '')) AS t(key, value)",
+)
+def crawl_config(spark, d):
+    with tempfile.TemporaryDirectory() as at:
+        (Path(at) / "config.yaml").write_text(_CONFIG, encoding="utf-8")
+        found = asdict(readers.read_config(f"{at}/config.yaml"))
+    return spark.createDataFrame([(k, ",".join(v) if isinstance(v, (list, tuple)) else str(v)) for k, v in found.items()], "key string, value string")
 
 
 @query("crawl_summary", f"WITH {_ROUND} SELECT 'documents' AS name, count(*) AS n FROM st UNION ALL SELECT 'frontier', count(*) FROM fr UNION ALL SELECT 'frontier_' || status, count(*) FROM fr GROUP BY status")
@@ -404,9 +618,25 @@ def newest_documents(spark, d):
 
 
 # ---- stemming, events ----------------------------------------------------------------------------------------------
+# Published vectors of words and stems.
+PORTER = (
+    ("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"),
+    ("conflated", "conflat"), ("troubled", "troubl"), ("sized", "size"), ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"), ("failing", "fail"), ("filing", "file"), ("happy", "happi"),
+    ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("rational", "ration"), ("digitizer", "digit"), ("operator", "oper"), ("feudalism", "feudal"), ("decisiveness", "decis"),
+    ("hopefulness", "hope"), ("triplicate", "triplic"), ("formalize", "formal"), ("electrical", "electr"), ("goodness", "good"), ("revival", "reviv"), ("adjustable", "adjust"), ("replacement", "replac"),
+    ("adoption", "adopt"), ("probate", "probat"), ("rate", "rate"), ("cease", "ceas"), ("roll", "roll"), ("generalizations", "gener"), ("oscillators", "oscil"),
+)
+
+
+@query("porter_vectors", f"SELECT * FROM (VALUES {', '.join(map(repr, PORTER))}) AS t(term, stem)")
+def porter_vectors(spark, d):
+    words = spark.createDataFrame([(w,) for w, _ in PORTER], "term string")
+    return words.select("term", F.when(T.may_stem(F.col("term")), stem_column(spark)("term")).otherwise(F.col("term")).alias("stem"))
+
+
 @query("porter_stem_vocab")
 def porter_stem_vocab(spark, d):
-    terms = _post(spark, d).select("term").distinct()
+    terms = _terms(spark, d).select("term")
     return terms.select("term", F.when(T.may_stem(F.col("term")), stem_column(spark)("term")).otherwise(F.col("term")).alias("stem"))
 
 

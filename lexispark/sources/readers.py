@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from dataclasses import fields
 from pathlib import Path
@@ -48,7 +49,7 @@ def read_index(spark: SparkSession, path: str) -> Index:
     version = spark.read.parquet(f"{path}/meta").first()["version"]
     if version != VERSION:
         raise ValueError(f"index version {version}, expected {VERSION}")
-    return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "vocabulary")))
 
 
 def read_binary_index(spark: SparkSession, path: str) -> Index:
@@ -75,19 +76,34 @@ def read_binary_index(spark: SparkSession, path: str) -> Index:
 
 
 def read_config(path: str) -> Config:
-    """A crawl configuration: JSON, or `key: value` lines with `- item` lists."""
+    """A crawl configuration: JSON, or `key: value` lines with `- item` lists, in sections or not. An unknown key is an error."""
     text = Path(path).read_text(encoding="utf-8")
     if text.lstrip().startswith("{"):
-        found = json.loads(text)
+        found = {}
+        for key, value in json.loads(text).items():
+            found |= {_KEYS.get((key, k), k): v for k, v in value.items()} if isinstance(value, dict) else {key: value}
     else:
-        found, key = {}, None
+        found, section, key = {}, "", ""
         for line in text.splitlines():
-            line = line.split(" #")[0].rstrip()
-            if line.lstrip().startswith("- ") and key:
-                found.setdefault(key, []).append(line.lstrip()[2:].strip().strip("\"'"))
-            elif ":" in line and not line.lstrip().startswith("#"):
-                key, value = (x.strip() for x in line.split(":", 1))
+            line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+            if line.lstrip().startswith("- "):
+                found.setdefault(key, []).append(_scalar(line.lstrip()[2:]))
+            elif ":" in line:
+                name, value = (x.strip() for x in line.split(":", 1))
+                section = section if line[0] == " " else name
+                key = _KEYS.get((section, name), name)
                 if value:
-                    found[key] = int(value) if value.lstrip("-").isdigit() else value.strip("\"'")
-    known = {f.name for f in fields(Config)}
-    return Config(**{k: v for k, v in found.items() if k in known})
+                    found[key] = _scalar(value)
+    unknown = set(found) - {f.name for f in fields(Config)}
+    if unknown:
+        raise ValueError(f"unknown keys in {path}: {', '.join(sorted(unknown))}")
+    return Config(**found)
+
+
+#: Names of keys that only a section makes clear.
+_KEYS = {("db", "path"): "db_path"}
+
+
+def _scalar(value: str) -> int | str:
+    value = value.strip()
+    return int(value) if re.fullmatch(r"-?\d+", value) else value.strip("\"'")

@@ -3,13 +3,30 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.operators.index import Index, lists
+from lexispark.operators.index import Index, lists, vocabulary
 from lexispark.sources.readers import MAGIC, VERSION
+from lexispark.storage import file_system
+
+
+def write_corpus(extracted: DataFrame, path: str) -> None:
+    """One text file for each extracted document, by its `file` name, in a folder that is emptied first. Executors write; the driver only
+    gives the files their names, of which there are as many as documents are extracted at most."""
+    spark = extracted.sparkSession
+    fs, folder = file_system(spark, path)
+    fs.delete(folder, True)
+    _, parts = file_system(spark, f"{path}/_parts")
+    # the writer ends each row with the line end that ends a document
+    extracted.select("file", F.regexp_replace("doc_text", r"\n\z", "").alias("value")).write.partitionBy("file").text(parts.toString())
+    for found in fs.globStatus(file_system(spark, f"{path}/_parts/file=*/part-*")[1]) or []:
+        at = found.getPath()
+        fs.rename(at, file_system(spark, f"{path}/{at.getParent().getName().removeprefix('file=')}")[1])
+    fs.delete(parts, True)
 
 
 def write_metadata(meta: DataFrame, path: str) -> None:
@@ -36,7 +53,7 @@ def write_index(index: Index, path: str) -> None:
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     dealt = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     dealt.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.block.size", str(16 << 20)).parquet(f"{path}/postings")
-    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    vocabulary(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/vocabulary")
     spark.createDataFrame([(VERSION,)], "version int").write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -51,12 +68,14 @@ def write_binary_index(index: Index, path: str) -> None:
             out.write(struct.pack("<IIII", r["doc_id"], len(title), len(file), r["token_count"]) + title + file)
             n_docs += 1
     with (at / "vocab.bin").open("wb") as vocab, (at / "postings.bin").open("wb") as posts:
-        for r in lists(index.postings).orderBy("term").toLocalIterator():
-            term = r["term"].encode()
-            vocab.write(struct.pack("<I", len(term)) + term + struct.pack("<IQII", r["df"], offset, r["df"], 0))
-            for p in r["postings"]:
-                posts.write(struct.pack("<II", p["doc_id"], p["tf"]))
-            offset += 8 * r["df"]
+        for name, rows in groupby(index.postings.orderBy("term", "doc_id").toLocalIterator(), key=lambda r: r["term"]):
+            n = 0
+            for r in rows:
+                posts.write(struct.pack("<II", r["doc_id"], r["tf"]))
+                n += 1
+            term = name.encode()
+            vocab.write(struct.pack("<I", len(term)) + term + struct.pack("<IQII", n, offset, n, 0))
+            offset += 8 * n
             n_terms += 1
     (at / "index_header.bin").write_bytes(struct.pack("<8sIIII", MAGIC, VERSION, n_docs, n_terms, 0))
 

@@ -40,7 +40,7 @@ FETCHES = {
     "https://ex.com/1": (200, "new", "text/html", False, True, "failed_request"),
     "https://ex.com/2": (304, "", "", False, False, "not_modified"),
     "https://ex.com/3": (404, "", "text/html", False, False, "failed_http_404"),
-    "https://ex.com/4": (200, "x", "application/pdf", False, False, "skipped_content_type_application/pdf"),
+    "https://ex.com/4": (200, "x", "Application/PDF", False, False, "skipped_content_type_application/pdf"),
     "https://ex.com/5": (200, "x", "text/html", True, False, "skipped_too_large"),
     "https://ex.com/6": (200, '<a href="/new">', "Text/HTML; charset=utf-8", False, False, "changed"),
     "https://ex.com/7": (200, '<a href="/old">', "text/html", False, False, "unchanged"),
@@ -48,7 +48,7 @@ FETCHES = {
 
 
 def test_round(spark):
-    config = crawl.Config(["ex.com"], recrawl_seconds=100)
+    config = crawl.Config(["ex.com"], recrawl_interval_seconds=100)
     frontier = crawl.seed(crawl.empty(spark, crawl.FRONTIER), spark.createDataFrame([(u,) for u in [*FETCHES, "https://no.com/"]], "url string"), ["ex.com"], 10)
     assert frontier.count() == 7
     stored = spark.createDataFrame([(u, '<a href="/old">', "ex.com", 1, "e", "", __import__("hashlib").md5(b'<a href="/old">').hexdigest(), 200) for u in FETCHES], crawl.DOCUMENTS)
@@ -78,13 +78,19 @@ def test_loop(spark, tmp_path):
     table = spark.createDataFrame(list(pages.items()), "url string, body string")
     fetch = lambda asked: asked.select("url").join(table, "url").selectExpr("url", "200L as status_code", "body", "'text/html' as content_type", "'' as etag", "'' as last_modified", "false as too_large", "false as request_failed")
     frontier = crawl.seed(crawl.empty(spark, crawl.FRONTIER), spark.createDataFrame([("https://ex.com",)], "url string"), ["ex.com"], 1)
-    documents, frontier = crawl.crawl(crawl.empty(spark, crawl.DOCUMENTS), frontier, fetch, crawl.Config(["ex.com"], max_pages=3), 5, 2, keep)
+    documents, frontier = crawl.crawl(crawl.empty(spark, crawl.DOCUMENTS), frontier, fetch, crawl.Config(["ex.com"], max_pages_per_run=3), 5, 2, keep)
     assert documents.count() == 3 and frontier.count() == 4
     assert {r.status: r.n for r in crawl.status_counts(frontier).collect()} == {"done": 3, "pending": 1}
 
 
-@pytest.mark.parametrize("text", ['{"allowed_domains": ["ex.com"], "max_pages": 7}', "# c\nmax_pages: 7\nallowed_domains:\n  - ex.com\nseed_urls_file: x\n"])
+@pytest.mark.parametrize("text", ['{"allowed_domains": ["ex.com"], "max_pages_per_run": 7}', '{"logic": {"allowed_domains": ["ex.com"], "max_pages_per_run": 7}, "db": {"path": "x"}}', "# c\nmax_pages_per_run: 7\nallowed_domains:\n  - ex.com\nseed_urls_file: x\n"])
 def test_config(tmp_path, text):
     (tmp_path / "c").write_text(text)
     got = read_config(str(tmp_path / "c"))
-    assert list(got.allowed_domains) == ["ex.com"] and got.max_pages == 7
+    assert list(got.allowed_domains) == ["ex.com"] and got.max_pages_per_run == 7
+
+
+def test_config_with_an_unknown_key(tmp_path):
+    (tmp_path / "c").write_text("max_page: 7\nallowed_domains:\n  - ex.com\n")
+    with pytest.raises(ValueError, match="max_page"):
+        read_config(str(tmp_path / "c"))

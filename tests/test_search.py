@@ -90,6 +90,9 @@ def test_persisted(spark, small, tmp_path):
     writers.write_index(small, str(tmp_path / "ix"))
     again = readers.read_index(spark, str(tmp_path / "ix"))
     assert [r.doc_id for r in search.ranked(again, "a b").orderBy("rank").collect()] == [0, 1, 2]
+    assert sorted(again.vocabulary.collect()) == sorted(small.vocabulary.collect())
+    plan = search.ranked(again, "a b")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [In(term, [a,b])]" in plan
     writers.write_binary_index(small, str(tmp_path / "bin"))
     binary = readers.read_binary_index(spark, str(tmp_path / "bin"))
     assert sorted(binary.postings.collect()) == sorted(small.postings.collect())
@@ -110,8 +113,24 @@ def test_text_folder(spark, tmp_path):
     assert [(r.doc_id, r.text) for r in readers.read_text_folder(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, "one\nline"), (1, "two")]
 
 
+def test_corpus_folder(spark, tmp_path):
+    rows = [(i, f"doc_{i:06d}.txt", f"Title: t{i}\n\nx\n\n{'y' * i}\n") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, file string, doc_text string")
+    for part in (df, df.limit(3)):  # a folder is emptied first
+        writers.write_corpus(part, str(tmp_path / "c"))
+        n = part.count()
+        assert sorted(f.name for f in (tmp_path / "c").glob("*.txt")) == [r[1] for r in rows[:n]]
+        assert {(r.doc_id, r.text) for r in readers.read_text_folder(spark, str(tmp_path / "c")).collect()} == {(r[0], r[2]) for r in rows[:n]}
+
+
+def test_ranks_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(zipf, "CHUNK", 7)
+    totals = spark.range(100).selectExpr("cast(id as string) as term", "if(id < 5, 3L, 1L) as freq")
+    assert [tuple(r) for r in zipf.ranks(totals).orderBy("rank").collect()] == [(i + 1, 3 if i < 5 else 1) for i in range(100)]
+
+
 def test_zipf(spark):
-    post = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 1, 5), ("c", 1, 5), ("d", 2, 1)], "term string, doc_id long, tf long")
+    post = spark.createDataFrame([("a", 10), ("b", 5), ("c", 5), ("d", 1)], "term string, freq long")
     rows = zipf.table(post).orderBy("rank").collect()
     assert [(r.rank, r.real_freq) for r in rows] == [(1, 10), (2, 5), (3, 5), (4, 1)]
     x, y = [math.log(i) for i in (1, 2, 3, 4)], [math.log(f) for f in (10, 5, 5, 1)]

@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +66,18 @@ def test_clean(spark):
     assert [(r.c, r.n) for r in df.select("i", "c", T.word_count(F.col("c")).alias("n")).orderBy("i").collect()] == [r[1:] for r in rows]
 
 
+def test_not_a_number(spark):
+    df = spark.createDataFrame([(float("nan"), "NaN"), (1.5, " x ")], "d double, t string")
+    assert [tuple(r) for r in df.select(T.clean_text(F.col("d")), T.clean_text(F.col("t"))).collect()] == [("", "NaN"), ("1.5", "x")]
+
+
+def test_raw_size(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("part-*"))
+    assert corpus.raw_size(spark, str(tmp_path / "t")) == size
+    assert corpus.corpus_stats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), size).first().raw_bytes == size
+
+
 def test_file_name(spark):
     df = spark.createDataFrame([(7,), (1234567,)], "i long")
     assert [r[0] for r in df.orderBy("i").select(T.file_name(F.col("i"))).collect()] == ["doc_000007.txt", "doc_1234567.txt"]
@@ -91,22 +101,27 @@ def test_porter(spark):
 
 def test_dense_ids(spark):
     df = spark.createDataFrame([(f"k{i % 977:04d}-{i:05d}",) for i in range(3000)], "k string")
-    got = corpus.with_dense_id(df, "k", buckets=8).orderBy("k").collect()
+    got = corpus.with_dense_id(df, "k").orderBy("k").collect()
     assert [r.doc_id for r in got] == list(range(3000))
+    ties = spark.createDataFrame([("a", i) for i in range(50)], "k string, v int")
+    one, two = ({(r.doc_id, r.v) for r in corpus.with_dense_id(t, "k").collect()} for t in (ties, ties.repartition(7)))
+    assert one == two and len(one) == 50
 
 
 def test_extract(spark):
     rows = [(i, f"t{i}", "a", "w " * n, f"A{i}", "2020", "x", "u") for i, n in enumerate([5, 0, 2, 7, 9])]
     papers = spark.createDataFrame(rows, "row_id int, title string, abstract string, full_text string, acl_id string, year string, author string, url string")
-    assert corpus.filter_report(papers, 4).first().asDict() == {"saved": 3, "skipped_empty": 1, "skipped_short": 1}
+    assert corpus.filter_report(papers, "row_id", 4).first().asDict() == {"saved": 3, "skipped_empty": 1, "skipped_short": 1}
+    assert corpus.filter_report(papers, "row_id", 4, 1).first().asDict() == {"saved": 1, "skipped_empty": 0, "skipped_short": 0}
+    assert corpus.filter_report(papers, "row_id", 4, 2).first().asDict() == {"saved": 2, "skipped_empty": 1, "skipped_short": 1}
     got = corpus.extract(papers, "row_id", 4, 2).orderBy("doc_id").collect()
     assert [(r.doc_id, r.acl_id, r.file, r.word_count) for r in got] == [(0, "A0", "doc_000000.txt", 5), (1, "A3", "doc_000001.txt", 7)]
+    assert got[0].text_length == len(got[0].doc_text)
     assert got[0].doc_text == "Title: t0\n\nAbstract: a\n\nFull text:\nw w w w w\n"
 
 
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert corpus.corpus_stats(none).first().avg_words == 0
+    assert corpus.corpus_stats(none, 0).first().avg_words == 0
     assert corpus.token_stats(none).first().tokens == 0
     assert index.header_stats(index.build(none)).first().terms == 0
-    assert re.match("a", "a")
