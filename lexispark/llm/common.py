@@ -1,4 +1,4 @@
-"""What several operators share: staged tables, Arrow text buffers, and vectorised word and window hashing.
+"""What several operators share: Arrow text buffers, and vectorised word and window hashing.
 
 All text work is done on flat byte buffers, a few hundred kilobytes at a time, so a Python worker needs memory
 for one slice (or one document, if that is longer) and not for a whole Arrow batch.
@@ -6,64 +6,16 @@ for one slice (or one document, if that is longer) and not for a whole Arrow bat
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a worker handles at once.
 SLICE_BYTES = 1 << 19
 
 _U = np.uint64
-_staged: dict[str, tuple[SparkSession, str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a folder of our own if all runs on this machine; a cluster
-    must name one, since its executors don't share their temporary folders."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (found or f"{tempfile.gettempdir()}/lexispark-checkpoint").rstrip("/")
-
-
-def _drop_staged() -> None:
-    for at, (spark, _) in list(_staged.items()):
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # noqa: BLE001 - the session has ended; the shared folder's own cleaning takes over
-            pass
-        _staged.pop(at, None)
-
-
-atexit.register(_drop_staged)
-
-
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """`df`, written as Parquet in the shared folder and read again: its lineage is cut, and a lost executor costs no
-    more than what it was doing. The folder goes with `release`, or at the end of the session."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lexispark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(at)
-    _staged[at] = (spark, name)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.staged_at = at
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for table in tables:
-        spark, _ = _staged.pop(table.staged_at)
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, release, signed, staged, text_slices
+from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, signed, text_slices
 from lexispark.session import ready
+from lexispark.storage import release, staged
 
 _U = np.uint64
 SHARE = 0.2

@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import LOWER, Words, binary_array, fold, gram_hash, mix, release, signed, staged, text_slices
+from lexispark.llm.common import LOWER, Words, binary_array, fold, gram_hash, mix, signed, text_slices
 from lexispark.session import ready
+from lexispark.storage import release, staged
 
 _U = np.uint64
 

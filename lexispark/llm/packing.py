@@ -21,9 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import binary_array, ragged, staged, text_slices
+from lexispark.llm.common import binary_array, ragged, text_slices
 from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
+from lexispark.storage import staged
 
 LENGTH = 2048
 #: Documents a group on average; with their ids, so many that a group's rests take 16 MB at most.

@@ -35,8 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, staged, text_slices
+from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, text_slices
 from lexispark.session import ready
+from lexispark.storage import staged
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: More that the vectors use.

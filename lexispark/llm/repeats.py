@@ -34,8 +34,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Words, binary_array, byte_gram_hash, codes_of, covered, fold, gram_hash, minimizers, mix, ragged, release, signed, slices, span_hash, spans_array, staged, text_buffers, text_slices
+from lexispark.llm.common import Words, binary_array, byte_gram_hash, codes_of, covered, fold, gram_hash, minimizers, mix, ragged, signed, slices, span_hash, spans_array, text_buffers, text_slices
 from lexispark.session import ready
+from lexispark.storage import release, staged
 
 #: Suffixes of a group at most.
 HOT = 1024
