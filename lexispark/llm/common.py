@@ -6,18 +6,36 @@ for one slice (or one document, if that is longer) and not for a whole Arrow bat
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a worker handles at once.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, with what its task has freed given back to the system at the end: workers live on, several to an executor, and would
+    hold it."""
+
+    @wraps(work)
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return worked
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, signed, text_slices
+from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, signed, text_slices, tidy
 from lexispark.session import ready
 from lexispark.storage import release, staged
 
@@ -256,7 +256,7 @@ def _known_pairs(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 # places from 1, as the bitmap functions count
                 yield pa.RecordBatch.from_arrays([pa.array(_place(whole[~last], PAIR_BITS) + 1), pa.array(size)], ["place", "size"])
 
-    found = staged(benchmark.select("text").mapInArrow(list_pairs, "place long, size long"), "pairs")
+    found = staged(benchmark.select("text").mapInArrow(tidy(list_pairs), "place long, size long"), "pairs")
     maps = found.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
     flags = np.zeros(PAIR_BITS, bool)
     for r in maps:
@@ -303,7 +303,7 @@ def stretches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(row + doc), batch.column("doc_id").take(pa.array(doc + a)), pa.array(lo - bounds[doc]), words], names)
                 row += b - a
 
-    return staged(docs.select("doc_id", "text").mapInArrow(cut, f"row long, doc_id {kind}, start long, words binary"), "stretches")
+    return staged(docs.select("doc_id", "text").mapInArrow(tidy(cut), f"row long, doc_id {kind}, start long, words binary"), "stretches")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, share: float, block: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, share: float, block: int) -> D
                         first = batch.column("start").take(of).to_numpy() + np.array(s)
                         yield pa.RecordBatch.from_arrays([batch.column("row").take(of), batch.column("doc_id").take(of), pa.array(i), pa.array(first), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["row", "doc_id", "item_id", "start", "words", "distance"])
 
-        found = staged(parts.mapInArrow(find, schema), "matches")
+        found = staged(parts.mapInArrow(tidy(find), schema), "matches")
         shared.destroy()
         out = found if out is None else out.unionByName(found)
     release(parts)

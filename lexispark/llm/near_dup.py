@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import LOWER, Words, binary_array, fold, gram_hash, mix, signed, text_slices
+from lexispark.llm.common import LOWER, Words, binary_array, fold, gram_hash, mix, signed, text_slices, tidy
 from lexispark.session import ready
 from lexispark.storage import release, staged
 
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, seed: int = 5) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]), pa.int32()), pa.array(signed(out[full].ravel())))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p, n), pa.array(size), pa.array(signed(names[0])), pa.array(signed(names[1])), lists], ["doc_id", "n_shingles", "set_lo", "set_hi", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_lo long, set_hi long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, set_lo long, set_hi long, bands array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 x, bounds = shingle_sets(data, offsets, k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(p, q - p), binary_array(x.view(np.uint8), 8 * np.diff(bounds))], ["doc_id", "s"])
 
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s binary")
+    return docs.mapInArrow(tidy(make), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s binary")
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def compared(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> Da
 
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return with_b.select("a", "b", "sa", "sb").mapInArrow(check, f"a {kind}, b {kind}, na long, nb long, common long" + ", diff array<long>" * differences)
+    return with_b.select("a", "b", "sa", "sb").mapInArrow(tidy(check), f"a {kind}, b {kind}, na long, nb long, common long" + ", diff array<long>" * differences)
 
 
 def _links(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _usual(mixed: DataFrame, sets: DataFrame) -> DataFrame:
 
     kind = mixed.schema["rep"].dataType.simpleString()
     asked = mixed.select(F.col("rep").alias("doc_id")).distinct()
-    rows = sets.join(asked, "doc_id", "left_semi").mapInArrow(explode, f"rep {kind}, shingle long")
+    rows = sets.join(asked, "doc_id", "left_semi").mapInArrow(tidy(explode), f"rep {kind}, shingle long")
     times = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
     return staged(rows.join(times, "shingle").groupBy("rep").agg(F.avg("times").alias("usual")), "usual")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import binary_array, ragged, text_slices
+from lexispark.llm.common import binary_array, ragged, text_slices, tidy
 from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
 from lexispark.storage import staged
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str, eod: int, length: int = LENGTH, keep
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth", *["ids"] * keep_ids]
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, nth long" + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").mapInArrow(tidy(cut), f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, nth long" + ", ids binary" * keep_ids)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

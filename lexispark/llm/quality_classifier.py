@@ -12,7 +12,8 @@ labelled training rows. Scores depend on the text alone.
 
 Defined results: null and empty texts, and texts without a word, score 0.0; with labelled
 rows of one label only every score is that label's; with none at all every score is 0.5; null and unknown labels and
-null doc_ids are not learnt from; equal texts get equal scores; an empty table gives an empty table; other columns
+null doc_ids are not learnt from; of a doc_id with several texts the least one is learnt, and one with both labels counts for both;
+equal texts get equal scores; an empty table gives an empty table; other columns
 travel along and columns named like ours are replaced.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Words, slices, text_buffers
+from lexispark.llm.common import Words, slices, text_buffers, tidy
 from lexispark.session import ready
 
 #: Places of hashed trigrams, of trigrams of classes, and of bands.
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1024, dims: int = 6
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for p in parts for r in p], pa.binary())], ["doc_id", "quality", "counts"])
 
-    got = picked.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").orderBy("doc_id", "quality").toArrow()
+    got = picked.mapInArrow(tidy(count), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, counts binary").orderBy("doc_id", "quality").toArrow()
     if not len(got):
         return None
     labels_ = got.column("quality").to_numpy().astype(np.float64)
@@ -197,7 +198,7 @@ def classify(docs: DataFrame, model: Model | None, cutoff: float = 0.3) -> DataF
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], [*rest, "score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"] + ["score double"])
-    return docs.mapInArrow(score, schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= cutoff).cast("int")})
+    return docs.mapInArrow(tidy(score), schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= cutoff).cast("int")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

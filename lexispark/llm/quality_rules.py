@@ -30,12 +30,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, text_slices
+from lexispark.llm.common import IS_SPACE, Words, codes_of, pairs_coded, spans_array, text_slices, tidy
 from lexispark.session import ready
 from lexispark.storage import staged
 
@@ -127,7 +126,7 @@ def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in STATS + MORE]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(c, pa.int64()) for c in cols], rest + [*STATS, *MORE])
 
-    return docs.mapInArrow(count, ", ".join(fields))
+    return docs.mapInArrow(tidy(count), ", ".join(fields))
 
 
 def base_failed() -> Column:
@@ -234,7 +233,7 @@ def _solve(rows: DataFrame, keys: list[str], one: Callable[[dict], dict], out: d
             got = [one(row) for row in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array([g[c] for g in got], pa.list_(pa.float64()) if out[c].startswith("array") else pa.float64()) for c in out]], names)
 
-    return rows.mapInArrow(solve, ", ".join(f"{c} {kinds[c]}" for c in names))
+    return rows.mapInArrow(tidy(solve), ", ".join(f"{c} {kinds[c]}" for c in names))
 
 
 def _joined(df: DataFrame, est: DataFrame, keys: list[str]) -> DataFrame:
@@ -347,15 +346,20 @@ WITHIN = 0.975
 CUTOFF = 25.74
 
 
-def _from_estimate(x: pa.Array, least: pa.Array, mu: pa.Array, cov: pa.Array) -> pa.Array:
-    """The distance of each document from its estimate, with the variance of the document's own rounding."""
-    p, known = len(X), mu.is_valid()
-    x, least, mu, cov = (c.filter(known).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in ((x, p), (least, p), (mu, p), (cov, p * p)))
-    off, var, i = x - mu, cov.reshape(-1, p, p).copy(), np.arange(p)
-    var[:, i, i] += least**2
-    distance = np.einsum("ij,ij->i", off, np.linalg.solve(var, off[..., None])[..., 0])
-    at = pa.compute.if_else(known, pa.compute.subtract(pa.compute.cumulative_sum(known.cast(pa.int64())), 1), None)
-    return pa.array(distance).take(at)
+def _with_distance(df: DataFrame, estimate: str) -> DataFrame:
+    """`df` with `distance`: that of each document from its estimate (mu, cov), with the variance of the document's own rounding, by a
+    Cholesky factor in columns. Null without an estimate."""
+    p, e = len(X), F.col(estimate)
+    c = lambda i, j: F.col(f"__c{i}{j}")
+    df = df.withColumns({f"__c{i}{j}": e["cov"][i * p + j] + (F.col(ROUNDING[i]) ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)} | {f"__y{i}": F.col(X[i]) - e["mu"][i] for i in range(p)})
+    for j in range(p):
+        # columns left of j are factors already, and so are the offsets before j
+        less = lambda i: reduce(lambda a, k: a - c(i, k) * c(j, k), range(j), c(i, j))  # noqa: B023, E731
+        df = df.withColumn(f"__c{j}{j}", F.sqrt(F.greatest(less(j), F.lit(1e-18))))
+        solved = {f"__y{j}": reduce(lambda a, k: a - c(j, k) * F.col(f"__y{k}"), range(j), F.col(f"__y{j}")) / c(j, j)}  # noqa: B023
+        df = df.withColumns({f"__c{i}{j}": less(i) / c(j, j) for i in range(j + 1, p)} | solved)
+    distance = reduce(lambda a, b: a + b, [F.col(f"__y{i}") ** 2 for i in range(p)])
+    return df.withColumn("distance", distance).drop(*[f"__c{i}{j}" for i in range(p) for j in range(i + 1)], *[f"__y{i}" for i in range(p)])
 
 
 #: Documents of a group that count as much as its language's estimate.
@@ -389,9 +393,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: in
     x = _joined(stats, of(sources, ["lang", "source"], "e1"), ["lang", "source"])
     x = _joined(x, of(langs, ["lang"], "e2"), ["lang"])
     x = _joined(x.withColumn("level", F.lit(0)), of(at(0), ["level"], "e3"), ["level"])
-    from_estimate = F.arrow_udf(_from_estimate, "double")
-    x = x.withColumn("e", F.coalesce("e1", "e2", "e3"))
-    x = x.withColumn("distance", from_estimate(F.array(*X), F.array(*ROUNDING), F.col("e.mu"), F.col("e.cov")))
+    x = _with_distance(x.withColumn("e", F.coalesce("e1", "e2", "e3")), "e")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
     return x.withColumn("kept", kept).drop("e", "e1", "e2", "e3", "level", *X, *ROUNDING)
 

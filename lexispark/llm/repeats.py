@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Words, binary_array, byte_gram_hash, codes_of, covered, fold, gram_hash, minimizers, mix, ragged, signed, slices, span_hash, spans_array, text_buffers, text_slices
+from lexispark.llm.common import Words, binary_array, byte_gram_hash, codes_of, covered, fold, gram_hash, minimizers, mix, ragged, signed, slices, span_hash, spans_array, text_buffers, text_slices, tidy
 from lexispark.session import ready
 from lexispark.storage import release, staged
 
@@ -109,7 +109,7 @@ def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 of = pa.array(doc[first] + a)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key[first])), texts.take(of), ids.take(of), pa.array(np.diff(np.append(first, len(key))), pa.int64())], ["key", "id", "doc_id", "places"])
 
-    return docs.select("id", "doc_id", "text").mapInArrow(find, f"key long, id binary, doc_id {kind}, places long")
+    return docs.select("id", "doc_id", "text").mapInArrow(tidy(find), f"key long, id binary, doc_id {kind}, places long")
 
 
 def repeated(found: DataFrame, across: bool, hot: int = HOT) -> DataFrame:
@@ -158,7 +158,7 @@ def surroundings(docs: DataFrame, unit: Unit) -> DataFrame:
                     listed = pa.ListArray.from_arrays(pa.array(at_place[x : y + 1] - p, pa.int32()), pa.array(places[p:q]))
                     yield pa.RecordBatch.from_arrays([pa.array(signed(key[x:y])), texts.take(of), ids.take(of), pa.array(places[at_place[x:y]]), pa.array(n[x:y]), pa.array(back[x:y]), spans_array(data, lo[x:y], hi[x:y]), pa.array(hot[x:y]), listed], names)
 
-    return docs.mapInArrow(cut, f"key long, id binary, doc_id {kind}, first long, n long, back long, around binary, hot boolean, places array<long>")
+    return docs.mapInArrow(tidy(cut), f"key long, id binary, doc_id {kind}, first long, n long, back long, around binary, hot boolean, places array<long>")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +292,7 @@ def judged(suffixes: DataFrame, unit: Unit, ordered: Callable, marks: Callable)
             first = table.column("first").to_numpy()[row] + before[row] - end + 1
             yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks().take(pa.array(row)), pa.array(first, pa.int64()), pa.array(end - begin, pa.int64())], ["id", "first", "n"])
 
-    return suffixes.select("key", "id", "doc_id", "first", "back", "around").sortWithinPartitions("key").mapInArrow(judge, "id binary, first long, n long")
+    return suffixes.select("key", "id", "doc_id", "first", "back", "around").sortWithinPartitions("key").mapInArrow(tidy(judge), "id binary, first long, n long")
 
 
 def prefixed(contexts: DataFrame, unit: Unit) -> DataFrame:
@@ -321,7 +321,7 @@ def prefixed(contexts: DataFrame, unit: Unit) -> DataFrame:
                 leads = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in rest], leads], [*[f.name for f in rest], "leads"])
 
-    return contexts.mapInArrow(lead, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", leads array<binary>")
+    return contexts.mapInArrow(tidy(lead), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest) + ", leads array<binary>")
 
 
 def named(contexts: DataFrame, unit: Unit) -> DataFrame:
@@ -346,7 +346,7 @@ def named(contexts: DataFrame, unit: Unit) -> DataFrame:
                 of = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([*[pa.array(signed(x)) for x in names], batch.column("id").take(of), batch.column("doc_id").take(of), pa.array(first)], ["name1", "name2", "id", "doc_id", "first"])
 
-    return contexts.select("id", "doc_id", "n", "back", "depth", "around").mapInArrow(name, f"name1 long, name2 long, id binary, doc_id {kind}, first long")
+    return contexts.select("id", "doc_id", "n", "back", "depth", "around").mapInArrow(tidy(name), f"name1 long, name2 long, id binary, doc_id {kind}, first long")
 
 
 def hot_judged(members: DataFrame, unit: Unit, deal: Callable, judge: Callable, across: bool, hot: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import Words, text_slices
+from lexispark.llm.common import Words, text_slices, tidy
 from lexispark.llm.repeats import HOT, Unit, removed, spans, text_id
 
 LENGTH, K = 50, 8
@@ -112,7 +112,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, dig
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], pa.array(count, pa.int64()), pa.array(lost, pa.int64()), out], [*rest, "n_words", "n_removed", last])
 
     schema = ", ".join([f"`{c}` {fields[c]}" for c in rest] + ["n_words long, n_removed long", f"{last} string"])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

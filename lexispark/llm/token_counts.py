@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexispark.llm.common import text_slices
+from lexispark.llm.common import text_slices, tidy
 from lexispark.llm.tokens import bpe, default_path
 from lexispark.session import ready
 from lexispark.storage import staged
@@ -82,7 +82,7 @@ def write_files(docs: DataFrame, tokenizer: str | None = None, separator: int =
         if n_held:
             yield from blocks(True)
 
-    both = staged(docs.select("doc_id", "text").mapInArrow(write, schema), "token-files")
+    both = staged(docs.select("doc_id", "text").mapInArrow(tidy(write), schema), "token-files")
     return both.where("block_no is not null").select("file_id", "block_no", "ids"), both.where("nth is not null").select("file_id", "nth", "doc_id")
 
 
@@ -112,7 +112,7 @@ def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, kind: str = KIND
                 ["file_id", "block_no", "n", "n_seps", "first", "last", "inner"],
             )
 
-    found = staged(blocks.mapInArrow(scan, f"file_id {key}, block_no long, n long, n_seps long, first long, last long, inner array<long>"), "separators")
+    found = staged(blocks.mapInArrow(tidy(scan), f"file_id {key}, block_no long, n long, n_seps long, first long, last long, inner array<long>"), "separators")
     carried = _scanned(found.drop("inner"))
     sizes = F.concat(F.array(F.col("ids_before") + F.col("first") - F.col("done")), "inner")
     closed = carried.where("n_seps > 0").join(found.select("file_id", "block_no", "inner"), ["file_id", "block_no"]).select("file_id", "docs_before", F.posexplode(sizes).alias("i", "n_tokens"))

@@ -44,7 +44,7 @@ class BPE:
     """A byte-level BPE tokenizer file with the usual pre-tokenizer; `encode` takes many texts at once."""
 
     #: Words whose ids a worker keeps; beyond that it starts anew.
-    KEEP = 1 << 20
+    KEEP = 1 << 17
 
     def __init__(self, path: str):
         self.path = path
