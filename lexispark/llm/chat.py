@@ -7,7 +7,8 @@ can be read back without loss.
 Defined results: a null text is empty; a null role is the empty role, which no transition allows; turns with the same
 number are ordered by role and then text, nulls first; repeated rows are turns of their own; rows without conv_id are one
 conversation whose conv_id is null; an empty table gives an empty table; other columns are ignored. A conversation whose
-roles are out of order is formatted like any other and has valid = false, with the first bad turn in bad_turn.
+roles are out of order is formatted like any other and has valid = false, with the first bad turn in bad_turn. A conversation
+is one row, whole: it must fit one. The query's own conversation -1 joins what the table has under that number.
 """
 
 from __future__ import annotations

@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
+        "op3_suffix_array_dedup": suffix_array_dedup.ORACLE,
         "op4_near_dup": near_dup.ORACLE,
         "op10_chat_formatting": chat.ORACLE,
     }

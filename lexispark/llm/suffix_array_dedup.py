@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import text_slices
+from lexispark.llm.common import text_slices, tidy
 from lexispark.llm.repeats import HOT, Unit, removed, spans, text_id
 
 LENGTH, K = 400, 16
@@ -108,10 +108,35 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT, dig
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in rest], pa.array(size, pa.int64()), pa.array(lost, pa.int64()), pa.array(runs, pa.int64()), out], [*rest, "n_bytes", "n_removed", "n_spans", last.split()[0]])
 
     schema = ", ".join([f"`{c}` {fields[c]}" for c in rest] + ["n_bytes long, n_removed long, n_spans long", last])
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: strings of 400 bytes over all documents."""
     out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), digests=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Windows of 400 bytes as hexadecimal digits; runs of windows that overlap or touch are one span.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substring(h, (2 * i + 1)::BIGINT, 800)) AS m FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)
+), r AS (
+  SELECT doc_id, i FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)
+), s AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS cut FROM r
+), g AS (
+  SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s
+), u AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g
+), v AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM u
+), k AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substring(h, (2 * p + 1)::BIGINT, (2 * (a - p))::BIGINT), '' ORDER BY a) || substring(any_value(h), (2 * max(b) + 1)::BIGINT) AS h
+  FROM v JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -1,7 +1,6 @@
 """Operators 1 and 5 to 10, and the pipeline."""
 
 import collections
-import hashlib
 import random
 import re
 import zlib
@@ -48,6 +47,25 @@ def test_classifier(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in got)
 
 
+def test_votes_against_brute_force(spark):
+    """Scores from the cosine of every document with every labelled vector, one by one."""
+    docs, labels = documents(spark).select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality_classifier.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in quality_classifier.classify(docs, model).collect():
+        raw = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+        counts = quality_classifier.term_counts(1, raw, np.array([0, len(raw)]))
+        if not counts.any():
+            assert r.score == 0
+            continue
+        x = model.reduce(counts)[0]
+        near = sorted(((float(sum(a * b for a, b in zip(x.tolist(), v.tolist()))), int(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)[: model.k]
+        votes = [0.0, 0.0]
+        for cosine, y in near:
+            votes[y] += model.weight[y] * max(cosine, 1e-6) ** model.sharpness
+        assert abs(votes[1] / sum(votes) - r.score) < 1e-3 and r.predicted == (r.score >= 0.3)
+
+
 def test_classifier_odd_cases(spark):
     schema = "doc_id long, text string, score string"
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "a", "s"), (4, "b c d" * 30, "s"), (4, "b c d" * 30, "s"), (None, "b c d" * 30, "s")], schema)
@@ -436,7 +454,6 @@ def test_pipeline(spark):
     model = BPE(default_path())
     whole = {d: sum((parts[s] for s in sorted(parts)), []) for d, parts in ids.items()}
     assert whole == {d: [*e, 1] for d, e in zip(after, model.encode(list(after.values())))}
-    assert hashlib.sha256(b"").hexdigest()
 
 
 def test_pipeline_keeps_null_and_repeated_ids(spark):
@@ -446,3 +463,52 @@ def test_pipeline_keeps_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
     got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect())
     assert got == collections.Counter({(None, a): 2, (None, b): 1, (None, None): 1, (1, c): 1, (1, d): 1, (3, None): 1})
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Null, empty, short, repeated and tied rows, and columns named like the operators' own, through each stage; expected by brute force."""
+    rng = random.Random(21)
+    passage = " ".join(f"p{i}" for i in range(60))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [plain_text(rng, 200) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100, f"{texts[0]} end"), (101, f"{texts[1]} {passage}"), (102, f"{passage} {texts[2]}"), (103, passage), (104, f"{item} {' '.join(texts[3].split()[:60])}")]
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "word " * 80), (None, texts[4]), (None, texts[4]), (None, None), (5, texts[5]), (5, texts[6]), (205, "#$% " * 400 + texts[7])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, N_Words string, e string, level string, distance string, _id string, _spans string, _text string, row string, `a.b` string"
+    clash = ["k", "w", "e", "l", "d", "i", "s", "t", "r", "ab"]
+    docs = spark.createDataFrame([(i, t, "en" if i != 7 else None, "s", len(t or ""), *clash) for i, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+        kept = out.collect()
+        assert all(list(r)[5:] == clash and r.n_chars == len(r.text or "") for r in kept), name
+        got[name] = collections.Counter((r.doc_id, r.text) for r in kept)
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    # quality: nulls, empty texts, short ones and repetitions fail, and so does the text full of symbols
+    judged = collections.Counter((i, t) for i, t in rows if brute_stats(t)[0] >= 50 and 2 * brute_stats(t)[4] <= brute_stats(t)[0])
+    assert got["quality_rules"] <= judged and (205, rows[-1][1]) not in got["quality_rules"] and sum(got["quality_rules"].values()) >= sum(judged.values()) - 5
+    # near duplicates: 0 and 100, 5 and 6, 7 and 205 are one; equal rows of one doc_id stay once, null ids as they are
+    near = collections.Counter(r for r in rows if r[0] not in (6, 100, 205))
+    near[5, texts[5]] = 1
+    assert got["near_dup"] == near
+    # substrings: each window stays with its least doc_id
+    least = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for p in range(len(w) - 49):
+            if i is not None:
+                least[tuple(w[p : p + 50])] = min(least.get(tuple(w[p : p + 50]), i), i)
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {p + j for p in range(len(w) - 49) if i is not None and least[tuple(w[p : p + 50])] < i for j in range(50)}
+        if not gone or len(gone) < len(w):
+            want.append((i, " ".join(x for p, x in enumerate(w) if p not in gone) if gone else t))
+    assert got["substring_dedup"] == collections.Counter(want) and (103, passage) not in got["substring_dedup"]
+    assert got["decontamination"] == collections.Counter(r for r in rows if r[0] != 104)
+    pieces = stages["packing"](spark, docs, DATA).collect()
+    model = BPE(default_path())
+    assert sum(r.length for r in pieces) == sum(len(x) + 1 for x in model.encode([t for _, t in rows]))
+    assert stages["packing"](spark, docs.limit(0), DATA).count() == 0
