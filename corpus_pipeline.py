@@ -15,9 +15,10 @@ from lexispark.storage import staged
 
 
 def _apart(docs: DataFrame, ours: Iterable[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What `stage` makes of `docs`, with the columns of `docs`; those named like the operator's own are out of its way."""
+    """What `stage` makes of `docs`, with the columns of `docs`; those named like the operator's own, or with dots and the like, are
+    out of its way."""
     names = {c.lower() for c in ours}
-    hidden = {c: f"__{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in names}
+    hidden = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c.lower() in names or not c.isidentifier()}
     out = stage(docs.withColumnsRenamed(hidden))
     return out.select(*[F.col(f"`{hidden.get(c, c)}`").alias(c) for c in docs.columns])
 
@@ -25,7 +26,7 @@ def _apart(docs: DataFrame, ours: Iterable[str], stage: Callable[[DataFrame], Da
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents that the rules reject go. Null and empty texts fail the base rules and go; rows with a null doc_id,
     lang or source are judged like others; repeated rows get equal verdicts; an empty table stays empty; other columns stay."""
-    ours = (*quality_rules.STATS, *quality_rules.MORE, *quality_rules.VERDICT, *quality_rules.X, *quality_rules.ROUNDING, "e", "e1", "e2", "e3", "level")
+    ours = (*quality_rules.STATS, *quality_rules.MORE, *quality_rules.VERDICT, *quality_rules.X, *quality_rules.ROUNDING, "e", "e1", "e2", "e3", "level", "_level", "_lang", "_source")
     return _apart(docs, ours, lambda d: quality_rules.judge(d, keep_text=True).where("kept"))
 
 
@@ -37,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = near_dup.near_duplicates(known, k=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     stay = known.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
     once = stay.withColumn("__digest", F.sha2("text", 256)).dropDuplicates(["doc_id", "__digest"])
-    return once.select(*docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.where(F.col("doc_id").isNull()))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
