@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, signed, text_slices, tidy
+from lexispark.llm.common import LOWER, Words, binary_array, gram_hash, mix, ragged, text_slices, tidy
 from lexispark.session import ready
 from lexispark.storage import release, staged
 
@@ -204,32 +204,54 @@ class Items:
             return []
         asked: set[tuple[int, int, int]] = set()
         for start, item in self.candidates(values, bounds):
-            # neighbouring starts are verified together
             doc = np.searchsorted(bounds, start, "right") - 1
             asked.update(zip(doc.tolist(), item.tolist(), (start // np.maximum(1, self.most[item])).tolist()))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, near in asked:
+        # neighbouring starts are verified together, overlapping places as one
+        places: list[list[int]] = []
+        for d, i, near in sorted(asked):
             k, n = int(self.most[i]), int(self.n[i])
             a = max(int(bounds[d]), near * max(1, k) - 2 * k)
             b = min(int(bounds[d + 1]), near * max(1, k) + max(1, k) + n + 2 * k)
-            distance, s, e = closest(self.words[i], values[a:b])
-            if distance <= k:
-                got = (distance, a + s - int(bounds[d]), e - s)
-                best[d, i] = min(best.get((d, i), got), got)
-        return [(d, i, s, n, distance) for (d, i), (distance, s, n) in sorted(best.items())]
+            if places and places[-1][:2] == [d, i] and a <= places[-1][3]:
+                places[-1][3] = b
+            else:
+                places.append([d, i, a, b])
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        d, i, a, b = np.array(places, np.int64).reshape(-1, 4).T
+        order = np.lexsort((b - a, self.n[i]))
+        cuts = np.flatnonzero(np.diff(self.n[i][order])) + 1
+        for same in np.split(order, cuts):
+            for part in (same[x : x + 256] for x in range(0, len(same), 256)):
+                for at, distance, s, e in zip(part.tolist(), *closest_of([self.words[x] for x in i[part]], [values[x:y] for x, y in zip(a[part], b[part])])):
+                    doc, item, first = int(d[at]), int(i[at]), int(a[at])
+                    if distance <= self.most[item]:
+                        got = (distance, first + s - int(bounds[doc]), e - s)
+                        best[doc, item] = min(best.get((doc, item), got), got)
+        return [(x, y, s, n, distance) for (x, y), (distance, s, n) in sorted(best.items())]
+
+
+def closest_of(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
+    """(edit distances, starts, ends) of the stretch of each text that is nearest to its item; all items have one size. Cost and start
+    are one number, and a row of the table is made for all pairs at once."""
+    big, size = 1 << 32, np.array([len(t) for t in texts])
+    wide = np.zeros((len(texts), int(size.max(initial=0))), _U)
+    for r, t in enumerate(texts):
+        wide[r, : len(t)] = t
+    place = np.arange(wide.shape[1] + 1, dtype=np.int64)
+    row = np.repeat(place[None], len(texts), axis=0)  # nothing of the item used: cost 0, from any start
+    for w in np.array(items).T if len(items) else ():
+        step = row + big
+        step[:, 1:] = np.minimum(step[:, 1:], row[:, :-1] + np.where(wide == w[:, None], 0, big))
+        row = np.minimum.accumulate(step - place * big, axis=1) + place * big
+    row[place > size[:, None]] = 1 << 62  # beyond the text's end
+    end = row.argmin(axis=1)
+    found = row[np.arange(len(row)), end]
+    return (found // big).tolist(), (found % big).tolist(), end.tolist()
 
 
 def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edit distance, start, end) of the stretch of `text` that is nearest to `item`: cost and start in one number."""
-    big = 1 << 32
-    place = np.arange(len(text) + 1, dtype=np.int64)
-    row = place.copy()  # nothing of the item used: cost 0, from any start
-    for w in item:
-        step = row + big
-        step[1:] = np.minimum(step[1:], row[:-1] + np.where(text == w, 0, big))
-        row = np.minimum.accumulate(step - place * big) + place * big
-    end = int(np.argmin(row))
-    return int(row[end] // big), int(row[end] % big), end
+    """(edit distance, start, end) of the stretch of `text` that is nearest to `item`."""
+    return tuple(x[0] for x in closest_of([item], [text]))
 
 
 def _buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
