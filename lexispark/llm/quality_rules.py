@@ -113,18 +113,50 @@ def slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """`docs` (without columns named like ours) and its statistics; text travels only if asked for."""
+X = ("x0", "x1", "x2", "x3", "x4")
+ROUNDING = ("r0", "r1", "r2", "r3", "r4")
+
+
+def vectors(stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(transformed statistics, rounding), a row for each document: shares of symbols, repeated lines, words in repeated passages and
+    non-letters, and the length of words, as logarithms. Shares are of bounded range; a small constant keeps a single symbol or repeated
+    line, which clean text has, from counting as far away. The rounding is what one symbol, repeated line, shortest repeated passage
+    (six words), or word more or less changes."""
+    n, chars, lines = (np.maximum(stats[c], 1).astype(np.float64) for c in ("n_words", "word_chars", "n_lines"))
+    other = np.maximum(chars - stats["n_alpha"], 0)
+    x = (0.02 + stats["n_symbols"] / n, 0.05 + stats["n_dup_lines"] / lines, 0.05 + stats["n_repeat_words"] / n, 0.05 + other / chars, chars / n)
+    steps = (np.log1p(1 / n / 0.02), np.log1p(1 / lines / 0.05), np.log1p(6 / n / 0.05), np.log1p(1 / n / 0.05), 1 / n)
+    return np.log(np.stack(x, 1)), np.stack(steps, 1)
+
+
+def distances(x: np.ndarray, least: np.ndarray, estimate: pa.Array) -> pa.Array:
+    """The distance of each document from its estimate (mu, cov), with the variance of the document's own rounding; null without one."""
+    p, known = len(X), estimate.is_valid().to_numpy(zero_copy_only=False)
+    out = np.full(len(x), np.nan)
+    if known.any():
+        mu, cov = (estimate.field(c).filter(pa.array(known)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in (("mu", p), ("cov", p * p)))
+        off, var, i = x[known] - mu, cov.reshape(-1, p, p).copy(), np.arange(p)
+        var[:, i, i] += least[known] ** 2
+        out[known] = np.einsum("ij,ij->i", off, np.linalg.solve(var, off[..., None])[..., 0])
+    return pa.array(out, mask=~known)
+
+
+def statistics(docs: DataFrame, keep_text: bool = False, estimate: str | None = None) -> DataFrame:
+    """`docs` (without columns named like ours), its statistics, their vectors and rounding; text travels only if asked for. With a
+    column `estimate` (mu, cov) also the distance from it, instead of vectors and the estimate."""
     ready(docs.sparkSession)
-    docs = docs.drop(*STATS, *MORE, *VERDICT)
-    rest = [c for c in docs.columns if keep_text or c != "text"]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + [f"{c} long" for c in STATS + MORE]
+    docs = docs.drop(*STATS, *MORE, *VERDICT, *X, *ROUNDING)
+    rest = [c for c in docs.columns if c != estimate and (keep_text or c != "text")]
+    more = ("distance",) if estimate else X + ROUNDING
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + [f"{c} long" for c in STATS + MORE] + [f"{c} double" for c in more]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [slice_stats(data, offsets) for _, _, data, offsets in text_slices(batch.column("text"))]
-            cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in STATS + MORE]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(c, pa.int64()) for c in cols], rest + [*STATS, *MORE])
+            cols = {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in STATS + MORE}
+            x, r = vectors(cols)
+            last = [distances(x, r, batch.column(estimate))] if estimate else [pa.array(c) for c in (*x.T, *r.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(c, pa.int64()) for c in cols.values()] + last, rest + [*STATS, *MORE, *more])
 
     return docs.mapInArrow(tidy(count), ", ".join(fields))
 
@@ -133,31 +165,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def vectors() -> dict[str, Column]:
-    """The transformed statistics. Shares are of bounded range; a small constant keeps a single symbol or repeated line,
-    which clean text has, from counting as far away; more of each is poorer, but for letters and word variety."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    chars = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return {
-        "x0": F.log(0.02 + F.col("n_symbols") / n),
-        "x1": F.log(0.05 + F.col("n_dup_lines") / lines),
-        "x2": F.log(0.05 + F.col("n_repeat_words") / n),
-        "x3": F.log(0.05 + F.greatest(chars - F.col("n_alpha"), F.lit(0)) / chars),
-        "x4": F.log(chars / n),
-    }
-
-
-def rounding() -> dict[str, Column]:
-    """What one symbol, repeated line, shortest repeated passage (six words), or word more or less changes in `vectors`."""
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    steps = (F.log1p(1 / n / 0.02), F.log1p(1 / lines / 0.05), F.log1p(6 / n / 0.05), F.log1p(1 / n / 0.05), 1 / n)
-    return dict(zip(ROUNDING, steps))
-
-
-X = ("x0", "x1", "x2", "x3", "x4")
-ROUNDING = ("r0", "r1", "r2", "r3", "r4")
 #: Spread that `mcd` allows for where the table has no rounding.
 LEAST = 1e-3
 #: Distances are counted in bins of an eighth of a doubling, between these.
@@ -346,22 +353,6 @@ WITHIN = 0.975
 CUTOFF = 25.74
 
 
-def _with_distance(df: DataFrame, estimate: str) -> DataFrame:
-    """`df` with `distance`: that of each document from its estimate (mu, cov), with the variance of the document's own rounding, by a
-    Cholesky factor in columns. Null without an estimate."""
-    p, e = len(X), F.col(estimate)
-    c = lambda i, j: F.col(f"__c{i}{j}")
-    df = df.withColumns({f"__c{i}{j}": e["cov"][i * p + j] + (F.col(ROUNDING[i]) ** 2 if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)} | {f"__y{i}": F.col(X[i]) - e["mu"][i] for i in range(p)})
-    for j in range(p):
-        # columns left of j are factors already, and so are the offsets before j
-        less = lambda i: reduce(lambda a, k: a - c(i, k) * c(j, k), range(j), c(i, j))  # noqa: B023, E731
-        df = df.withColumn(f"__c{j}{j}", F.sqrt(F.greatest(less(j), F.lit(1e-18))))
-        solved = {f"__y{j}": reduce(lambda a, k: a - c(j, k) * F.col(f"__y{k}"), range(j), F.col(f"__y{j}")) / c(j, j)}  # noqa: B023
-        df = df.withColumns({f"__c{i}{j}": less(i) / c(j, j) for i in range(j + 1, p)} | solved)
-    distance = reduce(lambda a, b: a + b, [F.col(f"__y{i}") ** 2 for i in range(p)])
-    return df.withColumn("distance", distance).drop(*[f"__c{i}{j}" for i in range(p) for j in range(i + 1)], *[f"__y{i}" for i in range(p)])
-
-
 #: Documents of a group that count as much as its language's estimate.
 PRIOR = 50
 
@@ -379,7 +370,8 @@ def _blended(part: DataFrame, whole: DataFrame, keys: list[str], prior: int) ->
 def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: int = 3, keep_text: bool = False) -> DataFrame:
     """`docs`, its statistics, base_failed, distance (squared, robust) and kept. Text stays only if asked for, and then
     its statistics are counted again, so that it need not be staged."""
-    stats = staged(statistics(docs).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding()), "stats")
+    docs = docs.drop(*STATS, *MORE, *VERDICT, *X, *ROUNDING)
+    stats = staged(statistics(docs).withColumn("base_failed", base_failed()), "stats")
     level = lambda n, lang, source: F.struct(F.lit(n).alias("level"), lang.alias("lang"), source.alias("source"))
     lang, source, none = F.col("lang"), F.col("source"), F.lit(None).cast("string")
     fit = stats.where(~F.col("base_failed")).select(F.explode(F.array(level(0, none, none), level(1, lang, none), level(2, lang, source))).alias("g"), *X, *ROUNDING).select("g.*", *X, *ROUNDING)
@@ -388,14 +380,20 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, prior: int = PRIOR, steps: in
     langs = staged(_blended(at(1), at(0), ["level"], prior), "mcd-langs")
     sources = staged(_blended(at(2), langs, ["lang"], prior), "mcd-sources")
     of = lambda est, keys, c: est.select(*keys, F.struct("mu", "cov").alias(c))
-    if keep_text:
-        stats = statistics(docs, True).withColumn("base_failed", base_failed()).withColumns(vectors() | rounding())
-    x = _joined(stats, of(sources, ["lang", "source"], "e1"), ["lang", "source"])
+    x = docs if keep_text else stats
+    x = _joined(x, of(sources, ["lang", "source"], "e1"), ["lang", "source"])
     x = _joined(x, of(langs, ["lang"], "e2"), ["lang"])
     x = _joined(x.withColumn("level", F.lit(0)), of(at(0), ["level"], "e3"), ["level"])
-    x = _with_distance(x.withColumn("e", F.coalesce("e1", "e2", "e3")), "e")
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False))
-    return x.withColumn("kept", kept).drop("e", "e1", "e2", "e3", "level", *X, *ROUNDING)
+    x = x.withColumn("e", F.coalesce("e1", "e2", "e3")).drop("e1", "e2", "e3", "level")
+    if keep_text:
+        x = statistics(x, True, "e").withColumn("base_failed", base_failed())
+    else:
+        x = x.withColumn("distance", F.arrow_udf(_from_estimate, "double")(F.array(*X), F.array(*ROUNDING), F.col("e"))).drop("e", *X, *ROUNDING)
+    return x.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
+
+
+def _from_estimate(x: pa.Array, least: pa.Array, estimate: pa.Array) -> pa.Array:
+    return distances(*(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(X)) for c in (x, least)), estimate)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

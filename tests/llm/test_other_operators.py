@@ -279,7 +279,7 @@ def test_verdict_against_brute_force(spark):
     rng = random.Random(14)
     rows = [(i, plain_text(rng, 200) + (" #$% 12345" * 30 if i % 9 == 0 else ""), "en", "s") for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    stats = quality_rules.statistics(docs).withColumn("base_failed", quality_rules.base_failed()).withColumns(quality_rules.vectors() | quality_rules.rounding())
+    stats = quality_rules.statistics(docs).withColumn("base_failed", quality_rules.base_failed())
     x = {r.doc_id: r for r in stats.collect()}
     fit = stats.where("not base_failed").withColumn("g", F.lit(1))
     est = quality_rules.mcd(fit, ["g"]).first()
@@ -291,6 +291,8 @@ def test_verdict_against_brute_force(spark):
         off = v - mu
         assert abs(off @ np.linalg.solve(var, off) - r.distance) < 1e-6 * max(1, r.distance)
         assert r.kept == (not r.base_failed and r.distance <= quality_rules.CUTOFF)
+    one, two = ({r.doc_id: (r.n_words, round(r.distance, 6), r.kept) for r in quality_rules.judge(docs, keep_text=k).collect()} for k in (False, True))
+    assert one == two
 
 
 # ---- 7 -------------------------------------------------------------------------------------------------------------
