@@ -349,11 +349,13 @@ def named(contexts: DataFrame, unit: Unit) -> DataFrame:
     return contexts.select("id", "doc_id", "n", "back", "depth", "around").mapInArrow(tidy(name), f"name1 long, name2 long, id binary, doc_id {kind}, first long")
 
 
-def hot_judged(members: DataFrame, unit: Unit, deal: Callable, judge: Callable, across: bool, hot: int) -> DataFrame:
-    """id, spans (array<struct<first, n>>) of repeated windows around hot anchors, by contexts; see above."""
+def hot_judged(members: DataFrame, unit: Unit, deal: Callable, judge: Callable, across: bool, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, spans (array<struct<first, n>>) of repeated windows around hot anchors, by contexts; see above; and the staged tables that
+    it reads)."""
     members = members.withColumn("cid", F.unhex(F.md5(F.concat("around", F.concat_ws(",", "key", "back").cast("binary")))))
     contexts = staged(members.groupBy("key", "cid").agg(F.min("doc_id").alias("doc_id"), F.sum(F.size("places")).alias("times"), F.first("n").alias("n"), F.first("back").alias("back"), F.first("around").alias("around")), "contexts")
     crowded = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot).select("key")
+    tables = [contexts]
     base = contexts.withColumn("id", F.col("cid")).withColumn("first", F.lit(0).cast("long"))
     runs = judge(deal(base.join(crowded, "key", "left_anti")))
     if not crowded.isEmpty():
@@ -363,6 +365,7 @@ def hot_judged(members: DataFrame, unit: Unit, deal: Callable, judge: Callable,
         chosen = levels.join(fits, "lead").groupBy("id").agg(F.min("level").alias("level"))
         depths = F.array(*[F.lit(n).cast("long") for n in unit.prefixes])
         placed = staged(deep.join(chosen, "id", "left").withColumn("depth", F.coalesce(F.get(depths, F.col("level")), F.lit(unit.length).cast("long"))), "placed")
+        tables += [deep, placed]
         # a context with no prefix that few share has all its windows compared by name
         grouped = placed.where("level is not null").withColumn("key", F.get("leads", F.col("level")))
         names = named(placed, unit)
@@ -379,7 +382,7 @@ def hot_judged(members: DataFrame, unit: Unit, deal: Callable, judge: Callable,
     some_of = F.flatten(F.transform("places", lambda p: F.transform("runs", lambda r: span(p + r["first"], r["n"]))))
     # a null doc_id has none smaller
     rest = placed.where(~whole & (F.col("doc_id").isNotNull() if across else F.lit(True)))
-    return placed.where(whole).select("id", all_of.alias("spans")).unionByName(rest.join(runs, "cid").select("id", some_of.alias("spans")))
+    return placed.where(whole).select("id", all_of.alias("spans")).unionByName(rest.join(runs, "cid").select("id", some_of.alias("spans"))), tables
 
 
 def spans(docs: DataFrame, unit: Unit, deal: Callable, ordered: Callable, marks: Callable, across: bool, hot: int = HOT) -> DataFrame:
@@ -395,12 +398,12 @@ def spans(docs: DataFrame, unit: Unit, deal: Callable, ordered: Callable, marks:
     release(again)
     judge = lambda rows: judged(rows, unit, ordered, marks)
     runs = judge(deal(around.where("not hot")))
-    hots = hot_judged(around.where("hot"), unit, deal, judge, across, hot)
+    hots, tables = hot_judged(around.where("hot"), unit, deal, judge, across, hot)
     marked = runs.select("id", F.array(F.struct("first", "n")).alias("spans")).unionByName(hots).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     copies = docs.select(text_id().alias("id"), "doc_id").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     out = copies.join(marked, "id", "left").where("copies > 1 or spans is not null")
     out = staged(out.withColumnRenamed("doc_id", "least_id"), "repeats")
-    release(around)
+    release(around, *tables)
     return out
 
 
