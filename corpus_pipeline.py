@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import decontamination, near_dup, packing, quality_rules, substring_dedup
-from lexispark.storage import staged
+from lexispark.storage import release, staged
 
 
 def _apart(docs: DataFrame, ours: Iterable[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -79,9 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*last)
+        last = [docs]
     return docs
 
 
