@@ -70,7 +70,7 @@ def _smaller_elsewhere(table: pa.Table):
     return chosen
 
 
-def _groups(suffixes: DataFrame, longer: bool = False) -> DataFrame:
+def _groups(suffixes: DataFrame, k: int | None = None) -> DataFrame:
     return suffixes.repartition("key")
 
 

@@ -87,6 +87,35 @@ def test_said_over_and_over(spark, hot):
     assert len(around) < sum(len(r.places) for r in around) / 2
 
 
+def rows_made(spark, since):
+    """The rows that each step in Python has made in the executions from `since` on."""
+    store, out = spark._jsparkSession.sharedState().statusStore(), []
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    of = store.executionsList()
+    for e in (of.apply(i) for i in range(since, of.size())):
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())) if "InArrow" in node.name() else ():
+                if m.name() == "number of output rows" and (value := values.get(m.accumulatorId())).isDefined():
+                    out.append(int(value.get().replace(",", "")))
+    return out
+
+
+def test_bytes_of_crowded_anchors(spark):
+    """A passage in many different surroundings is judged whole, and without a row for each of its windows."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passages = [letters(450), letters(300)]
+    docs = [(i, f"{letters(500)}{passages[i % 2]}{letters(500)}") for i in range(240)] + [(999, f"{letters(100)}{passages[1]}{docs_end}") for docs_end in [letters(120)] for _ in range(2)]
+    docs = [(n, t) for n, (_, t) in enumerate(docs)]
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    got = suffix_array_dedup.dedup(frame(spark, docs), hot=60, digests=True).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(docs, 400)
+    assert sum(r.n_removed > 0 for r in got) >= 120
+    made = rows_made(spark, since)
+    assert len(made) > 5 and max(made) < 40 * len(docs)
+
+
 def _marked(spark, docs):
     unit, rows = repeats.Unit(True, 6, 2, (6,)), []
     for i, t in docs:
