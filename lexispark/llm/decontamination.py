@@ -44,6 +44,8 @@ WALKS, SAMPLES, PLACES = 8, 6, 3
 RECALL = 0.99
 #: Size of the table of the benchmark's pairs of words: 2 MB.
 PAIR_BITS = 1 << 24
+#: What the symbols of a key are multiplied by.
+FACTORS = [mix(np.array([i + 1], _U))[0] | _U(1) for i in range(PLACES)]
 
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = False
@@ -166,13 +168,27 @@ class Items:
         keys, item = np.concatenate(keys), np.concatenate(item)
         order = np.argsort(keys, kind="stable")
         self.table, self.table_item = keys[order], item[order]
+        # most keys of texts are none of the table's, as their first bits tell
+        self.bits = min(24, 6 + int(len(keys)).bit_length())
+        self.flags = np.zeros(1 << self.bits, bool)
+        self.flags[self._first_bits(self.table)] = True
+
+    def _first_bits(self, key: np.ndarray) -> np.ndarray:
+        return (key >> _U(64 - self.bits)).view(np.int64)
+
+    def lookup(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in `key`, item) of the keys that are in the table."""
+        at = np.flatnonzero(self.flags[self._first_bits(key)])
+        lo, hi = np.searchsorted(self.table, key[at], "left"), np.searchsorted(self.table, key[at], "right")
+        return np.repeat(at, hi - lo), self.table_item[ragged(lo, hi - lo)]
 
     def keys(self, symbols: np.ndarray, far: np.ndarray, rows: np.ndarray, size: int, walk: int) -> Iterator[np.ndarray]:
         """The keys of a walk's tables for windows of `size` words: the size and the sampled symbols; beyond the window's end there are none."""
-        for t in range(SAMPLES):
-            key = np.full(len(rows), mix(np.array([size * 1009 + walk * SAMPLES + t], _U))[0], _U)
-            for j in (self.places[walk, t] * 2 * size).astype(np.int64).tolist():
-                key = mix(key ^ np.where(far[j, rows] < size, symbols[j, rows], _U(0))) + _U(0x632BE59BD9B4E019)
+        for t, salt in enumerate(mix(np.arange(SAMPLES, dtype=_U) + _U(size * 1009 + walk * SAMPLES))):
+            key = np.full(len(rows), salt, _U)
+            for factor, j in zip(FACTORS, (self.places[walk, t] * 2 * size).astype(np.int64).tolist()):
+                # symbols are mixed; a key that others share by chance costs a verification
+                key += symbols[j][rows] * (far[j][rows] < size) * factor
             yield key
 
     def candidates(self, values: np.ndarray, bounds: np.ndarray, chunk: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,12 +207,10 @@ class Items:
                 symbols, far = walked(values, part, end[a : a + chunk], steps, self.seed + walk)
                 for size, rows in here:
                     for key in self.keys(symbols, far, rows, size, walk):
-                        lo, hi = np.searchsorted(self.table, key, "left"), np.searchsorted(self.table, key, "right")
-                        if (hi > lo).any():
-                            item = self.table_item[ragged(lo, hi - lo)]
-                            start = np.repeat(part[rows], hi - lo)
+                        at, item = self.lookup(key)
+                        if len(at):
                             right = self.n[item] == size
-                            yield start[right], item[right]
+                            yield part[rows][at[right]], item[right]
 
     def matches(self, values: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start, words, distance): the closest stretch for each item that matches a text."""

@@ -365,6 +365,18 @@ def test_windows_lose_no_item():
             assert any(a <= len(w) <= b and start in at for a, b, at in windows.starts(v, np.array([0, len(v)])))
 
 
+def test_lookups_of_keys():
+    """Keys are looked up in the sorted table only if their first bits are some item's, and none of the table's is lost."""
+    rng = random.Random(13)
+    items = decontamination.Items(list(range(200)), [" ".join(f"w{rng.randrange(300)}" for _ in range(15 + i % 40)) for i in range(200)], decontamination.SHARE)
+    others = np.random.default_rng(5).integers(0, 1 << 64, 100_000, np.uint64)
+    keys = np.concatenate([others, items.table[::3], others[:5]])
+    at, item = items.lookup(keys)
+    want = sorted((n, i) for n, k in enumerate(keys.tolist()) if n >= len(others) for i in items.table_item[items.table == np.uint64(k)].tolist())
+    assert sorted(zip(at.tolist(), item.tolist())) == want and len(want) >= len(items.table) // 3
+    assert items.flags[items._first_bits(others)].mean() < 0.05
+
+
 def test_edit_distance():
     rng = random.Random(7)
     for _ in range(200):
