@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lexispark.operators.index import Index, build
+from lexispark.operators.index import Index, build, exploded
+from lexispark.storage import release, staged
 
 
 def stream_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", per_batch: int = 16) -> DataFrame:
@@ -25,7 +26,9 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQ
         last = batch.groupBy("doc_id").agg(F.max("text").alias("text"))
         index = build(last)
         index.docs.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        found = staged(index.blocks, "blocks")
+        exploded(found).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        release(found)
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

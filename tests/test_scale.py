@@ -3,6 +3,7 @@
 import struct
 from itertools import groupby
 
+from lexispark.functions import counting
 from lexispark.operators import index
 from lexispark.sources import binary, readers, writers
 
@@ -31,3 +32,28 @@ def test_binary_index_is_not_held_by_the_driver(spark, tmp_path, monkeypatch):
     again = readers.read_binary_index(spark, f"file://{at}")
     assert sorted(tuple(r) for r in again.postings.collect()) == want
     assert sorted(again.docs.collect()) == sorted(ix.docs.collect())
+
+
+def test_documents_are_counted_without_a_shuffle(spark, monkeypatch):
+    rows = [(1, "The the a-b 1.5 x.y K İx"), (2, None), (3, ""), (4, "the running runs run's"), (-5, "the")]
+    once, stems = ({("the", 1): 2, ("a-b", 1): 1, ("1.5", 1): 1, ("x", 1): 2, ("y", 1): 1, ("the", 4): 1, ("running", 4): 1, ("runs", 4): 1, ("run's", 4): 1, ("the", -5): 1} for _ in "ab")
+    stems[("run", 4)] = stems.pop(("running", 4)) + stems.pop(("runs", 4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(counting, "POSTINGS", 3)
+    for stem, want in ((False, once), (True, stems)):
+        post = index.postings(docs, stem=stem)
+        assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in post.collect()) == sorted((*k, n) for k, n in want.items())
+    again = index.postings(docs.unionAll(docs).unionAll(spark.createDataFrame([(None, "n"), (None, "n")], docs.schema)))
+    assert {(r.term, r.doc_id): r.tf for r in again.collect()} == {k: 2 * n for k, n in once.items()} | {("n", None): 2}
+
+
+def test_stored_blocks_keep_every_posting(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"the w{i % 7} w{i}") for i in range(50)], "doc_id long, text string").repartition(3)
+    ix = index.build(docs)
+    writers.write_index(ix, str(tmp_path / "ix"))
+    stored = readers.read_index(spark, str(tmp_path / "ix"))
+    assert stored.blocks.count() < stored.postings.count()
+    assert sorted(stored.postings.collect()) == sorted(ix.postings.collect())
+    lines = {r.value for r in writers.postings_lines(stored.blocks).collect()}
+    assert "\t".join(["the", *(f"{i}:1" for i in range(50))]) in lines
