@@ -3,8 +3,10 @@
 import struct
 from itertools import groupby
 
+import pytest
+
 from lexispark.functions import counting
-from lexispark.operators import index
+from lexispark.operators import corpus, index
 from lexispark.sources import binary, readers, writers
 
 
@@ -57,3 +59,16 @@ def test_stored_blocks_keep_every_posting(spark, tmp_path):
     assert sorted(stored.postings.collect()) == sorted(ix.postings.collect())
     lines = {r.value for r in writers.postings_lines(stored.blocks).collect()}
     assert "\t".join(["the", *(f"{i}:1" for i in range(50))]) in lines
+
+
+def test_extraction_sorts_no_texts_in_one_task(spark, monkeypatch):
+    rows = [(k, f"t{i}", "", f"{'w ' * (3 + i % 5)}{i}", "", "", "", "") for i, k in enumerate([None, *range(40, 0, -1), 7, 7])]
+    papers = spark.createDataFrame(rows, "row_id long, title string, abstract string, full_text string, acl_id string, year string, author string, url string").repartition(5)
+    # whole rows that are sorted and cut would all meet in one task
+    limit = type(papers).limit
+    monkeypatch.setattr(type(papers), "limit", lambda df, n: limit(df, n) if n < 2 else pytest.fail("rows are cut in one task"))
+    for most in (0, 1, 5, 1000):
+        got = corpus.extract(papers, "row_id", 5, most)
+        found = sorted((r.doc_id, r.row_id) for r in got.collect())
+        keys = sorted((k for k, *_, in ((r[0], r[3]) for r in rows if len(r[3].split()) >= 5)), key=lambda k: (k is not None, k))
+        assert found == list(enumerate(keys[:most])), most
